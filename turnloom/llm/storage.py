@@ -34,12 +34,17 @@ BITMAP_WORDS = 1 << 16  # 64 keys' bits each: 2^22 bits, about 1 MB when sent to
 
 
 def perhaps_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of `df` whose key may be in `keys` (column `key`): all that are, and a few others.
+    """Rows of `df` whose key may be in `keys` (column `key`): all that are, and a few others."""
+    return with_perhaps(df, key, keys, "_perhaps").filter("_perhaps").drop("_perhaps")
+
+
+def with_perhaps(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+    """Adds `flag`: false for rows whose key is not in `keys`, true for all that are and a few others.
 
     The summary is a bitmap of at most BITMAP_WORDS rows, so broadcasting it is bounded. It only
     spares the exact join that follows most of its rows.
     """
     word, bit = f"xxhash64({key}) & {BITMAP_WORDS - 1}", f"cast(shiftrightunsigned(xxhash64({key}), 32) & 63 as int)"
     words = keys.groupBy(F.expr(word).alias("_word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("_bits"))
-    held = df.join(F.broadcast(words), F.expr(f"({word}) = _word"))
-    return held.filter(f"shiftrightunsigned(_bits, {bit}) & 1L = 1L").drop("_word", "_bits")
+    held = df.join(F.broadcast(words), F.expr(f"({word}) = _word"), "left")
+    return held.withColumn(flag, F.expr(f"coalesce(shiftrightunsigned(_bits, {bit}) & 1L = 1L, false)")).drop("_word", "_bits")
