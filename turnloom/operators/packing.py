@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import text as T
 from .index import dense_index
@@ -64,7 +65,7 @@ def pack_records(df: DataFrame, order: list[str], capacity: int = CAPACITY, batc
     return numbered.join(packs, "position").drop("position")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def mask_labels(ids: pd.Series) -> pd.Series:
     """Labels of token ids: IGNORE, but for each ASSISTANT at p the ids from p + 2 to the next TURN_END and one more.
 
