@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +27,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_CHUNKS = 300_000  # pieces of text remembered by a worker before it starts afresh
+from .pieces import ADDED, normal, pieces
+
+MEMO_CHUNKS = 250_000  # pieces of text remembered by a worker before it starts afresh
 BATCH_TEXTS = 2000  # texts whose new words are walked together
-#: Python counts these as white space, the vocabulary's pattern does not
-_ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def byte_symbols() -> list[str]:
@@ -190,27 +189,11 @@ class WordBpe:
         self.stop = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.memo: dict[str, tuple[int, str, str]] = {}
 
-    def chunks(self, text: str | None) -> list[str]:
-        """Pieces between white space, normalised; those that may hold an added token stay as they are."""
-        if not text:
-            return []
-        if "<|" in text:
-            return [c if "<|" in c else self.normal(c) for c in ([text] if any(c in text for c in _ODD_BLANKS) else text.split())]
-        text = self.normal(text)
-        return [text] if any(c in text for c in _ODD_BLANKS) else text.split()
-
-    @staticmethod
-    def normal(text: str) -> str:
-        if text.isascii():
-            return text.lower()
-        text = unicodedata.normalize("NFC", text)
-        return "".join([c.lower() for c in text]) if "\u03a3" in text else text.lower()  # the capital sigma has two small forms
-
     def words(self, chunk: str) -> list[str | int]:
         """A piece of text as words and ids of added tokens."""
-        if self.stop and "<|" in chunk:
+        if self.stop and ADDED in chunk:
             parts = [part for part in self.stop.split(chunk) if part]
-            return [w for part in parts for w in ([self.added[part]] if part in self.added else self.pattern.findall(self.normal(part)))]
+            return [w for part in parts for w in ([self.added[part]] if part in self.added else self.pattern.findall(normal(part)))]
         return [chunk] if chunk.isascii() and chunk.isalpha() else self.pattern.findall(chunk)
 
     def learn(self, chunks: set[str]) -> None:
@@ -232,7 +215,7 @@ class WordBpe:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Of each text: number of tokens, decimal ids and labels joined by spaces."""
         for k in range(0, len(texts), BATCH_TEXTS):
-            split = [self.chunks(t) for t in texts[k : k + BATCH_TEXTS]]
+            split = [pieces(t) for t in texts[k : k + BATCH_TEXTS]]
             memo = self.memo
             new = {c for chunks in split for c in chunks if c not in memo}
             if new and len(memo) + len(new) > MEMO_CHUNKS:
