@@ -4,7 +4,7 @@ A file holds a run of documents in ascending order: the boundaries (where each d
 Elias-Fano sequence, then the ids as little-endian unsigned 32-bit integers. The boundaries' high
 parts are a unary bit vector and their low parts are packed bits, so n documents over u ids take
 about n * (2 + log2(u / n)) bits; select on the high bits returns an offset without a table of
-64-bit numbers. Files hold about `FILE_IDS` ids each and are written by the tasks of a range
+64-bit numbers. Files hold `DOCS_PER_FILE` documents at most and are written by the tasks of a range
 partitioning; where a file starts in the whole sequence is a prefix sum over one row per file.
 
 Null and empty texts are a document of the end id alone. Documents with equal ids
@@ -24,13 +24,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pieces import pieces
 from .storage import stored
 
 END_ID = 2
 MAGIC = b"TIDS\x01\x00\x00\x00"
-DOCS_PER_FILE = 4096
-MEMO_CHUNKS = 300_000
-_ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to Python but not to the vocabulary's pattern
+DOCS_PER_FILE = 256
+MEMO_CHUNKS = 280_000
+LIBRARY_BATCH = 4096  # pieces given to the library at once
 
 
 class EliasFano:
@@ -114,20 +115,23 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for k in range(0, len(texts), LIBRARY_BATCH):
+            out += [struct.pack(f"<{len(ids)}I", *ids) for e in self.library.encode_batch_fast(texts[k : k + LIBRARY_BATCH], add_special_tokens=False) for ids in (e.ids,)]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Bytes of the ids of each text. The vocabulary drops white space and no token crosses it."""
-        split = [None if t and any(c in t for c in _ODD_BLANKS) else ((t or "").lower() if (t or "").isascii() and "<|" not in (t or "") else (t or "")).split() for t in texts]
+        """Bytes of the ids of each text."""
+        split = [pieces(t) for t in texts]
         memo = self.memo
-        new = {c for chunks in split if chunks for c in chunks if c not in memo}
+        new = {c for chunks in split for c in chunks if c not in memo}
         if len(memo) + len(new) > MEMO_CHUNKS:
             memo.clear()
-            new = {c for chunks in split if chunks for c in chunks}
+            new = {c for chunks in split for c in chunks}
         new = list(new)
         memo.update(zip(new, self.whole(new), strict=True))
         get = memo.__getitem__
-        return [b"".join(map(get, chunks)) if chunks is not None else self.whole([t])[0] for t, chunks in zip(texts, split, strict=True)]
+        return [b"".join(map(get, chunks)) for chunks in split]
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -149,8 +153,8 @@ def token_bytes(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name)
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                piece = batch.slice(k, 2000)
+            for k in range(0, batch.num_rows, 500):
+                piece = batch.slice(k, 500)
                 ids = [b + last for b in encoder.encode(piece.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([piece.column("part"), piece.column("doc_id"), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
@@ -200,20 +204,23 @@ def file_starts(files: DataFrame) -> DataFrame:
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """One row per document, from the files: doc_id, start, n_tokens, ids_crc32."""
+    """One row per document, from the files: doc_id, start, n_tokens, ids_crc32.
+
+    Places inside a file come from its boundaries; only these slim rows meet the files' starts.
+    """
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
+    names = ["part", "chunk", "doc_id", "place", "n_tokens", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                base = batch.column("file_start")[row].as_py()
-                numbers = batch.column("doc_ids")[row].values
-                found = [(base + a, len(b) // 4, zlib.crc32(b)) for a, b in documents(batch.column("data")[row].as_py())]
-                starts, sizes, sums = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([numbers, *(pa.array(x, pa.int64()) for x in (starts, sizes, sums))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    placed = files.join(file_starts(files), ["part", "chunk"])
-    return placed.select("doc_ids", "data", "file_start").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+                found = [(a, len(b) // 4, zlib.crc32(b)) for a, b in documents(batch.column("data")[row].as_py())]
+                where = [pa.array([batch.column(c)[row].as_py()] * len(found), pa.int32()) for c in ("part", "chunk")]
+                columns = [pa.array(x, pa.int64()) for x in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([*where, batch.column("doc_ids")[row].values, *columns], names=names)
+
+    read = files.select("part", "chunk", "doc_ids", "data").mapInArrow(run, f"part int, chunk int, doc_id {kind}, place long, n_tokens long, ids_crc32 long")
+    return read.join(file_starts(files), ["part", "chunk"]).select("doc_id", (F.col("file_start") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_file_report(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
