@@ -84,6 +84,49 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def near_lines():
+    """Lines, and each with a word replaced, taken out, added or moved, with several replaced, or with a letter replaced."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 7)))
+    out = ["internationally", "internationaly", "chapter twelve of it", "chapter twelbe of it", "not like any", "a line without its like"]
+    for n in (5, 6, 8, 10, 13, 14, 20, 40, 100):
+        for _ in range(3):
+            line = [word() for _ in range(n)]
+            k = rng.randrange(n)
+            moved = line[:k] + line[k + 1 :]
+            moved.insert(rng.randrange(n), line[k])
+            several = [word() if i % 12 == 5 else w for i, w in enumerate(line)]
+            out += [" ".join(x) for x in (line, [*line[:k], "on", *line[k + 1 :]], line[:k] + line[k + 1 :], [*line[:k], "on", *line[k:]], moved, several)]
+    return out
+
+
+def test_line_dedup_finds_all_lines_of_edit_similarity_four_fifths(spark):
+    lines = near_lines()
+    parent = list(range(len(lines)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        longer = max(len(lines[a]), len(lines[b]))
+        if 5 * abs(len(lines[a]) - len(lines[b])) <= longer and 5 * edit_distance(lines[a], lines[b]) <= longer:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    made = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in line_dedup.dedup_lines(made).filter("n_removed = 0").collect()}
+    assert got == {root(i) for i in range(len(lines))}
+
+
 def test_ngram_join(docs, empty):
     sets = {}
     for i, text in texts():
