@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from turnloom.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, quality_classifier, quality_rules, stages, storage, tokens_file, toxicity, warc
+from turnloom.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, pieces, quality_classifier, quality_rules, stages, storage, tokens_file, toxicity, warc
 from turnloom.llm.components import components
 from turnloom.llm.queries import vocabulary
 
@@ -193,6 +193,16 @@ def test_bpe_and_token_files_equal_the_library(docs, empty):
     assert tokens_file.token_file_report(empty, vocabulary()).count() == 0
 
 
+def test_pieces_of_sign_mixes_equal_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(vocabulary())
+    ids = lambda t: library.encode(t, add_special_tokens=False).ids
+    rng = random.Random(6)
+    mixes = ["".join(rng.choices("ab1é _.,-'!$\u0301\u0903²½٣", k=rng.randint(1, 12))) for _ in range(3000)]
+    for text in ["snake_, next", "foo_.bar", "__init__.py", "fill in ____.", "a ._b", "x,_ y", *mixes]:
+        assert [i for p in pieces.pieces(text) for i in ids(p)] == ids(text), text
+
+
 def test_elias_fano():
     import numpy as np
 

@@ -12,7 +12,7 @@ import unicodedata
 
 #: Python counts these as white space, the vocabulary's pattern does not
 _ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
-_SIGNS_TOGETHER = re.compile(r"[^\w\s][^\w\s]|[̀-ͯ]")
+_SIGNS_TOGETHER = re.compile(r"(?:[^\w\s]|_)(?:[^\w\s]|_)|[̀-ͯ]")
 ADDED = "<|"  # begins every added token; pieces that hold it stay as they are
 
 
