@@ -289,6 +289,25 @@ def test_html_text(html, text):
     assert html_text.model().main_text(html) == text
 
 
+ARTICLE = "<article><h1>Head line</h1><p>First text stands here.</p>{}<p>Last text stands here.</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html><head><title>x</title><body>" + ARTICLE.format(""), "Head line\nFirst text stands here.\nLast text stands here."),
+        ("<html><head><meta charset=utf-8><title>x</title>" + ARTICLE.format(""), "Head line\nFirst text stands here.\nLast text stands here."),
+        *((PAGE.format(ARTICLE.format(x)), "Head line\nFirst text stands here.\nLast text stands here.") for x in ("<svg width=1 />", "<math/>", "<button>", "<object data=a>", "<select>", "<svg><path d='M0'/></svg>", "<canvas>", "<iframe src=a>")),
+        (PAGE.format(ARTICLE.format("<button>") + "<button>Send</button>"), "Head line\nFirst text stands here.\nLast text stands here."),
+        (PAGE.format(ARTICLE.format("<button>Share</button><select><option>One<option>Two</select>")), "Head line\nFirst text stands here.\nLast text stands here."),
+        (PAGE.format(ARTICLE.format("<object data=a><p>Text of the object here.</p></object>")), "Head line\nFirst text stands here.\nText of the object here.\nLast text stands here."),
+        (PAGE.format(ARTICLE.format("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds here.</p>")), "Head line\nFirst text stands here.\nSo x=2 holds here.\nLast text stands here."),
+    ],
+)
+def test_html_text_loses_nothing_to_missing_end_tags(html, text):
+    assert html_text.model().main_text(html) == text
+
+
 def test_warc_round_trip(spark):
     big = "é" * 600
     rows = [(1, "http://a/%0A\n", big), (2, None, big), (3, "u", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (3, "u", big)]

@@ -30,15 +30,20 @@ from .labelled import logistic
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|button|title|object|math|canvas|head(?=[\s>]))\b[^>]*+>(?:.*?</\1\s*+>|.*\Z)"
+    r"|<(script|style|textarea|title)(?=[\s/>])[^>]*+>(?:.*?</\1\s*+>|.*\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*?)>"
     r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|data-main)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _PART = re.compile(r"[a-z]+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: elements that count only when the next tag of their name is their end tag: forgotten end tags must not hide what follows
+NEEDS_END = frozenset("button canvas iframe math noscript object select svg template".split())
+#: of these, the ones that stand beside the text
+CONTROLS = NEEDS_END - {"math", "object"}
+_NEXT = {name: re.compile(rf"<(/?){name}(?=[\s/>])", re.I) for name in NEEDS_END}
 CLOSED_BY_BLOCK = frozenset(["p"])
 #: an element that ends when another of its kind starts
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -100,6 +105,13 @@ def parse(page: str) -> Page:
                 pieces.append(" ")
             continue
         name = name.lower()
+        if name == "head":  # its end tag may be missing; of what it holds only raw text shows, and that is skipped
+            flush()
+            continue
+        if name in NEEDS_END and not found[2]:
+            following = _NEXT[name].search(page, last)
+            if name in ("math", "svg") and found[4].endswith("/") or not (following and following[1]):
+                continue
         if found[2]:  # an end tag closes the nearest open element of its name
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
@@ -155,11 +167,10 @@ def parse(page: str) -> Page:
 
 def element_features(tag: str, marks: frozenset[str]) -> list[str]:
     out = [f"tag={tag}"]
-    if marks:
-        if marks & BESIDE:
-            out.append("beside")
-        elif marks & TEXT:
-            out.append("text")
+    if tag in CONTROLS or marks & BESIDE:
+        out.append("beside")
+    elif marks & TEXT:
+        out.append("text")
     return out
 
 
