@@ -28,7 +28,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text)).cast("bigint")
+    return F.coalesce(F.regexp_count(text, F.lit(r"(?U)\S+")), F.lit(0)).cast("bigint")
 
 
 def normalize_text(text: Column) -> Column:
@@ -48,12 +48,31 @@ def ngrams(tokens: Column, n: int) -> Column:
     return out
 
 
+def ngram_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of all n-grams of an array of tokens, for counting them."""
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    if n == 2:
+        return F.zip_with(F.slice(tokens, F.lit(1), count), F.slice(tokens, F.lit(2), count), lambda a, b: F.xxhash64(a, b))
+    return F.transform(ngrams(tokens, n), lambda g: F.xxhash64(g))
+
+
 def distinct_n(text: Column, n: int = 2) -> Column:
     """Different n-grams over all n-grams of the normalised tokens; 0.0 with fewer than n tokens."""
-    grams = ngrams(words(normalize_text(text)), n)
+    grams = ngram_hashes(words(normalize_text(text)), n)
     return F.coalesce(F.try_divide(F.size(F.array_distinct(grams)), F.size(grams)), F.lit(0.0))
 
 
+def max_ngram_repeat(tokens: Column, n: int) -> Column:
+    """How often the commonest n-gram of an array of tokens occurs: the longest run of its sorted hashes."""
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("most"))
+
+    def step(acc: Column, h: Column) -> Column:
+        run = F.when(acc["last"].eqNullSafe(h), acc["run"] + 1).otherwise(F.lit(1).cast("bigint"))
+        return F.struct(h.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+
+    return F.aggregate(F.sort_array(ngram_hashes(tokens, n)), start, step, lambda acc: acc["most"])
+
+
 def marker_count(text: Column) -> Column:
     """Stage-direction markers in any case."""
     return F.regexp_count(F.lower(text), F.lit(_MARKER_PATTERN)).cast("bigint")

@@ -93,12 +93,16 @@ def attach_ground_truth(predictions: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def resolve_image_refs(items: DataFrame) -> DataFrame:
-    """Adds resolved and problem: an image value of 64 characters or fewer is the index of the row that holds the image, which must be longer."""
-    ref = F.length("image") <= 64
-    holders = items.select(F.col("index").cast("string").alias("_ref"), F.col("image").alias("_held"))
-    joined = items.withColumn("_ref", F.when(ref, F.col("image"))).join(holders, "_ref", "left")
-    good = F.length("_held") > 64
-    return joined.withColumns({"resolved": F.when(~ref, F.col("image")).when(good, F.col("_held")), "problem": F.when(ref & ~F.coalesce(good, F.lit(False)), "unresolved_image")}).drop("_ref", "_held")
+    """Adds resolved and problem: an image value of 64 characters or fewer is the index of the row that holds the image, which must be longer.
+
+    Only references are joined; rows that hold their image stay where they are.
+    """
+    refers = F.coalesce(F.length("image") <= 64, F.lit(False))
+    holders = items.filter(F.length("image") > 64).select(F.col("index").cast("string").alias("_ref"), F.col("image").alias("resolved"))
+    found = items.filter(refers).join(holders, F.col("image") == F.col("_ref"), "left").drop("_ref")
+    found = found.withColumn("problem", F.when(F.col("resolved").isNull(), "unresolved_image"))
+    own = items.filter(~refers).withColumns({"resolved": F.col("image"), "problem": F.lit(None).cast("string")})
+    return found.unionByName(own)
 
 
 def _option_lines(options: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .turns import dialogue_stats
+from .turns import turn_counts, turn_measures
 
 METRICS = ["words", "distinct2", "avg_turn_length", "switch_rate", "num_turns"]
 #: how each metric's average is shown
@@ -15,11 +15,11 @@ MAX_IMAGES = 5
 
 
 def transcript_metrics(transcripts: DataFrame) -> DataFrame:
-    """(sample, model, the five metrics) of transcripts whose header is stripped already; a missing one has a null distinct2."""
+    """(sample, model, the five metrics) of transcripts whose header is stripped already; a missing one has a null distinct2. No shuffle."""
     text = F.col("content")
-    own = transcripts.select("sample", "model", T.word_count(text).alias("words"), F.when(text.isNotNull() & (text != ""), T.distinct_n(text, 2)).alias("distinct2"))
-    stats = dialogue_stats(transcripts).withColumnRenamed("n_turns", "num_turns")
-    return own.join(stats, ["sample", "model"]).select("sample", "model", *METRICS)
+    own = [T.word_count(text).alias("words"), F.when(text.isNotNull() & (text != ""), T.distinct_n(text, 2)).alias("distinct2")]
+    counted = transcripts.select("sample", "model", *own, turn_counts(text).alias("_turns"))
+    return counted.select("sample", "model", "words", "distinct2", *turn_measures(F.col("_turns"))).withColumnRenamed("n_turns", "num_turns").select("sample", "model", *METRICS)
 
 
 def compare_models(long: DataFrame, models: list[str]) -> DataFrame:

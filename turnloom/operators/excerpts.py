@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .index import dense_index, running_total
+from .turns import TRANSCRIPT_MAX_CHARS
 
 # Limits of transcripts and excerpts.
-TRANSCRIPT_CHARS = (2000, 50_000)
+TRANSCRIPT_CHARS = (2000, TRANSCRIPT_MAX_CHARS)
 EXCERPT_WORDS = (400, 900)
 MAX_TRIGRAM = 5
 MAX_MARKERS = 2
@@ -30,9 +31,9 @@ def load_excerpts(episodes: DataFrame) -> DataFrame:
     return flat.select("source", "episode_idx", "e.excerpt_idx", "e.excerpt", F.length("e.excerpt").cast("bigint").alias("excerpt_length"), "e.word_count", "e.scenes")
 
 
-def gate_by_length(df: DataFrame, column: str = "transcript", low: int = TRANSCRIPT_CHARS[0], high: int = TRANSCRIPT_CHARS[1]) -> DataFrame:
-    """Adds status and reason: too short or too long transcripts are skipped."""
-    size = F.coalesce(F.length(column), F.lit(0))
+def gate_by_length(df: DataFrame, column: str = "transcript", low: int = TRANSCRIPT_CHARS[0], high: int = TRANSCRIPT_CHARS[1], size_column: str | None = None) -> DataFrame:
+    """Adds status and reason: too short or too long transcripts are skipped. `size_column` holds their length where it is known."""
+    size = F.coalesce(F.col(size_column) if size_column else F.length(column), F.lit(0))
     reason = F.when(size < low, "too_short").when(size > high, "too_long")
     return df.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "pass").otherwise("skipped"))
 
@@ -47,27 +48,25 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     return replies.withColumn("parsed", F.from_json(T.strip_code_fence(F.col("reply")), REPLY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
 
 
-def validate_excerpts(excerpts: DataFrame, key: list[str]) -> DataFrame:
-    """Adds valid and reason; the first reason found hides the others."""
-    repeats = max_trigram_repeat(excerpts, key)
-    joined = excerpts.join(repeats, key, "left")
+def validate_excerpts(excerpts: DataFrame) -> DataFrame:
+    """Adds valid and reason; the first reason found hides the others.
+
+    Trigrams are counted in the row, and only of excerpts of a length that passes. No shuffle.
+    """
+    within = F.col("word_count").between(*EXCERPT_WORDS)
+    counted = excerpts.withColumns({"_repeat": F.when(within, max_trigram_repeat(F.col("excerpt"))), "_markers": F.when(within, T.marker_count(F.col("excerpt")))})
     reason = (
         F.when(F.col("word_count") > EXCERPT_WORDS[1], "too_long")
         .when(F.col("word_count") < EXCERPT_WORDS[0], "too_short")
-        .when(F.coalesce("max_repeat", F.lit(0)) > MAX_TRIGRAM, F.concat(F.lit("repetition_"), F.col("max_repeat").cast("string"), F.lit("x")))
-        .when(T.marker_count(F.col("excerpt")) > MAX_MARKERS, "too_many_markers")
+        .when(F.coalesce("_repeat", F.lit(0)) > MAX_TRIGRAM, F.concat(F.lit("repetition_"), F.col("_repeat").cast("string"), F.lit("x")))
+        .when(F.col("_markers") > MAX_MARKERS, "too_many_markers")
     )
-    return joined.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull()).drop("max_repeat")
-
+    return counted.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull()).drop("_repeat", "_markers")
 
-def max_trigram_repeat(df: DataFrame, key: list[str], text: str = "excerpt") -> DataFrame:
-    """(key, max_repeat) of texts of TRIGRAM_MIN_WORDS words and more: how often their commonest trigram of raw tokens occurs.
 
-    Trigrams are counted by a grouping with map-side sums, so no long text is counted in one row.
-    """
-    tokens = df.select(*key, T.words(F.col(text)).alias("w")).filter(F.size("w") >= TRIGRAM_MIN_WORDS)
-    grams = tokens.select(*key, F.explode(T.ngrams(F.col("w"), 3)).alias("gram"))
-    return grams.groupBy(*key, "gram").count().groupBy(*key).agg(F.max("count").alias("max_repeat"))
+def max_trigram_repeat(text: Column) -> Column:
+    """How often the commonest trigram of raw tokens occurs; null in texts of fewer than TRIGRAM_MIN_WORDS words."""
+    return F.when(T.word_count(text) >= TRIGRAM_MIN_WORDS, T.max_ngram_repeat(T.words(text), 3))
 
 
 def explode_excerpts(parsed: DataFrame) -> DataFrame:
@@ -86,19 +85,26 @@ def explode_scenes(excerpts: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def classify_replies(replies: DataFrame) -> DataFrame:
-    """(episode_idx, status, reason, num_excerpts) of each reply (episode_idx, reply)."""
-    parsed = parse_replies(replies)
-    valid = validate_excerpts(explode_excerpts(parsed).filter(F.size("scenes") >= SCENES), ["episode_idx", "excerpt_idx"]).filter("valid").groupBy("episode_idx").agg(F.count("*").alias("n"))
-    joined = parsed.join(valid, "episode_idx", "left")
+    """(episode_idx, status, reason, num_excerpts) of each reply (episode_idx, reply). A reply is parsed once."""
     p = F.col("parsed")
-    broken = p.isNull() | p["_corrupt_record"].isNotNull()
-    none = F.col("n").isNull()
-    failed = F.col("reply").isNull() | broken
-    unseen = ~F.coalesce(p["visualizable"], F.lit(False))
-    empty = F.coalesce(F.size(p["excerpts"]), F.lit(0)) <= 0
-    status = F.when(failed, "failed").when(unseen | empty, "not_visualizable").when(none, "failed").otherwise("success")
-    reason = F.when(F.col("reply").isNull(), "api_error").when(broken, "json_parse_error").when(unseen, F.coalesce(p["reason"], F.lit("unknown"))).when(empty, "no_excerpts").when(none, "no_valid_excerpts")
-    return joined.select("episode_idx", status.alias("status"), reason.alias("reason"), F.coalesce("n", F.lit(0)).cast("bigint").alias("num_excerpts"))
+    facts = parse_replies(replies).select(
+        "episode_idx",
+        F.col("reply").isNull().alias("silent"),
+        (p.isNull() | p["_corrupt_record"].isNotNull()).alias("broken"),
+        (~F.coalesce(p["visualizable"], F.lit(False))).alias("unseen"),
+        F.coalesce(p["reason"], F.lit("unknown")).alias("why"),
+        (F.coalesce(F.size(p["excerpts"]), F.lit(0)) <= 0).alias("empty"),
+        F.explode_outer(p["excerpts"]).alias("e"),
+    )
+    text = F.col("e.excerpt")
+    flat = facts.withColumns({"excerpt": text, "word_count": F.coalesce("e.word_count", T.word_count(text)), "enough": F.coalesce(F.size("e.scenes") >= SCENES, F.lit(False))})
+    first = [F.first(c).alias(c) for c in ("silent", "broken", "unseen", "why", "empty")]
+    found = validate_excerpts(flat.drop("e")).groupBy("episode_idx").agg(*first, F.count_if(F.col("enough") & F.col("valid") & F.col("word_count").isNotNull()).alias("n"))
+    failed = F.col("silent") | F.col("broken")
+    none = F.col("n") == 0
+    status = F.when(failed, "failed").when(F.col("unseen") | F.col("empty"), "not_visualizable").when(none, "failed").otherwise("success")
+    reason = F.when(F.col("silent"), "api_error").when(F.col("broken"), "json_parse_error").when(F.col("unseen"), F.col("why")).when(F.col("empty"), "no_excerpts").when(none, "no_valid_excerpts")
+    return found.select("episode_idx", status.alias("status"), reason.alias("reason"), F.col("n").cast("bigint").alias("num_excerpts"))
 
 
 def extraction_summary(status: DataFrame, rejected: DataFrame) -> DataFrame:

@@ -36,16 +36,19 @@ def image_histogram(excerpts: DataFrame) -> DataFrame:
 
 
 def generation_summary(results: DataFrame) -> DataFrame:
-    """By status: number, megabytes, average kilobytes of successes, and the failed files in order."""
-    failed = F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.col("filename"))))
+    """By status: number, megabytes, average kilobytes of successes."""
     return results.groupBy("status").agg(
         F.count("*").alias("n"),
         (F.coalesce(F.sum("size"), F.lit(0)) / (1024.0 * 1024.0)).alias("megabytes"),
         F.avg(F.when(F.col("status") == "success", F.col("size") / 1024.0)).alias("avg_kilobytes"),
-        F.array_join(failed, ",").alias("failed_files"),
     )
 
 
+def failed_files(results: DataFrame) -> DataFrame:
+    """The files of failed results, a row each."""
+    return results.filter("status = 'failed'").select("filename")
+
+
 def missing_media(records: DataFrame, inventory: DataFrame) -> DataFrame:
     """(record_id, missing): paths of a record's media that are not in the inventory. Paths are made distinct before the join."""
     used = records.select("record_id", F.explode(F.concat("image", "video")).alias("path"))

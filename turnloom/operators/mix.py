@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .index import dense_index
+
 
 def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
     """The sources' rows with their name in `source`."""
@@ -28,11 +30,11 @@ def seeded(seed: int, *key: str) -> Column:
 
 
 def exact_sample(df: DataFrame, percent: float, seed: int, key: str) -> DataFrame:
-    """Exactly int(n * percent / 100) rows without replacement, in the order of a seeded hash. The product is a float and is cut, as the training code does."""
+    """Exactly int(n * percent / 100) rows without replacement, the first in the order of a seeded hash. The product is a float and is cut, as the training code does."""
     if percent >= 100:
         return df
     count = int(df.count() * percent / 100.0)
-    return df.withColumn("_order", seeded(seed, key)).orderBy("_order", key).limit(count).drop("_order")
+    return dense_index(df.withColumn("_order", seeded(seed, key)), ["_order", key], "_position").filter(F.col("_position") < count).drop("_order", "_position")
 
 
 def mix_datasets(spec: str, registry: dict[str, DataFrame], seed: int, key: str) -> DataFrame:

@@ -42,27 +42,48 @@ def seeded_order(stories: DataFrame, seed: int) -> DataFrame:
     return stories.withColumn("priority", F.concat(F.md5(F.concat(F.lit(f"{seed}-"), F.col("story_id").cast("string"))), F.lit("-"), F.lpad(F.col("story_id").cast("string"), 20, "0")))
 
 
+def _loop_choice(entries: DataFrame) -> DataFrame | None:
+    """(story_id, priority) that a loop over the order would choose from the entries (story_id, priority, photo_id)."""
+    left, chosen = entries.checkpoint(), None
+    while not left.isEmpty():
+        first = left.groupBy("photo_id").agg(F.min("priority").alias("first"))
+        won = left.join(first, "photo_id").groupBy("story_id", "priority").agg(F.every(F.col("priority") == F.col("first")).alias("won")).filter("won").select("story_id", "priority").checkpoint()
+        chosen = won if chosen is None else chosen.unionByName(won)
+        taken = left.join(won.select("story_id"), "story_id", "left_semi").select("photo_id").distinct()
+        gone = left.join(taken, "photo_id", "left_semi").select("story_id").distinct()
+        left = left.join(gone, "story_id", "left_anti").checkpoint()
+    return chosen
+
+
 def select_disjoint(stories: DataFrame, used: DataFrame, count: int, seed: int, fill: bool = False) -> DataFrame:
     """Up to `count` stories in seeded order, none sharing a photo with a used story or one chosen before it.
 
     `stories` (story_id, photos), `used` (photo_id). The choice is the one a loop over the order
-    would make: in each round every remaining story that is first on all its photos is taken, and
-    stories that share a photo with one taken go. Rounds end when no story remains; their number is
-    logarithmic for a random order. `fill` tops up with the next stories, allowing shared photos.
+    would make. A story's fate depends only on those before it, so the order is worked through in
+    growing pieces (its keys are hashes, so a piece is a range of them) until `count` are found. In a
+    piece, rounds each take every remaining story that is first on all its photos, and stories that
+    share a photo with one taken go; their number is logarithmic for a random order. `fill` tops up
+    with the next stories, allowing shared photos.
     """
     shared_folder(stories.sparkSession)
     keyed = seeded_order(stories.select("story_id", "photos"), seed).checkpoint()
     entries = keyed.select("story_id", "priority", F.explode(F.array_distinct("photos")).alias("photo_id"))
-    blocked = entries.join(used.select("photo_id").distinct(), "photo_id", "left_semi").select("story_id").distinct()
-    left = entries.join(blocked, "story_id", "left_anti").checkpoint()
-    chosen = None
-    while not left.isEmpty():
-        first = left.groupBy("photo_id").agg(F.min("priority").alias("first"))
-        won = left.join(first, "photo_id").groupBy("story_id", "priority").agg(F.every(F.col("priority") == F.col("first")).alias("won")).filter("won").select("story_id", "priority").checkpoint()
-        chosen = won if chosen is None else chosen.unionByName(won)
-        taken = left.join(won.select("story_id"), "story_id", "left_semi").select("photo_id").distinct()
-        gone = left.join(taken, "photo_id", "left_semi").select("story_id").distinct()
-        left = left.join(gone, "story_id", "left_anti").checkpoint()
+    blocked = used.select("photo_id").distinct()
+    total, chosen, low, share = keyed.count(), None, 0.0, 4.0 * count
+    while low < 1.0 and total:
+        high = min(low + share / total, 1.0)
+        piece = entries.filter(F.col("priority") >= _hash_at(low))
+        piece = piece if high >= 1.0 else piece.filter(F.col("priority") < _hash_at(high))
+        if chosen is not None:
+            taken = entries.join(chosen.select("story_id"), "story_id", "left_semi").select("photo_id")
+            blocked = used.select("photo_id").unionByName(taken).distinct()
+        gone = piece.join(blocked, "photo_id", "left_semi").select("story_id").distinct()
+        found = _loop_choice(piece.join(gone, "story_id", "left_anti"))
+        if found is not None:
+            chosen = found if chosen is None else chosen.unionByName(found)
+            if chosen.count() >= count:
+                break
+        low, share = high, share * 4
     picked = (chosen if chosen is not None else keyed.select("story_id", "priority").limit(0)).orderBy("priority").limit(count).withColumn("overlaps", F.lit(False))
     if fill:
         rest = keyed.join(picked.select("story_id"), "story_id", "left_anti").select("story_id", "priority").withColumn("overlaps", F.lit(True))
@@ -70,6 +91,11 @@ def select_disjoint(stories: DataFrame, used: DataFrame, count: int, seed: int,
     return picked
 
 
+def _hash_at(share: float) -> str:
+    """The md5 in hexadecimal below which this share of all lies."""
+    return f"{int(share * (1 << 64)):016x}"
+
+
 def name_samples(selected: DataFrame, start: int) -> DataFrame:
     """(sample, story_id, image_no, image, photo_id) of selected stories (story_id, priority, overlaps, photos), numbered from `start` in selection order."""
     numbered = dense_index(selected, ["overlaps", "priority"], "at")

@@ -5,16 +5,24 @@ Rules are plain arithmetic on ids and lines, so that every branch of an operator
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.index import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, for files that a reader is to read."""
+    return f"{shared_folder(spark)}/turnloom-{what}-{uuid.uuid4().hex}"
+
+
 def strip_sql(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import compare, excerpts, mix, turns
 from ..operators.index import dense_index
+from ..sources import files
 from . import adapters as A
 from .registry import query
 
@@ -15,9 +16,12 @@ def rounded(df, *names):
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-@query("s1_loaded_turns", f"WITH {A.TURNS}, {A.LOADED} SELECT episode_url, turn_idx, speaker, text FROM loaded")
+@query("s1_loaded_turns", f"WITH {A.TURNS}, {A.LOADED} SELECT episode_url, speaker, text FROM loaded")
 def s1(spark, d):
-    return turns.loaded_turns(A.turns(spark, d)).withColumn("speaker", F.get("speaker", F.lit(0)))
+    """The turns as JSON lines, read back; a line's number there is its place in the files."""
+    path = A.scratch(spark, "turns")
+    files.write_jsonl(A.turns(spark, d).select(F.col("episode_url").alias("mp3url"), "speaker", F.col("text").alias("turnText")), path)
+    return turns.loaded_turns(files.read_turns(spark, path)).select("episode_url", F.get("speaker", F.lit(0)).alias("speaker"), "text")
 
 
 @query("s2_slice_by_position", "SELECT doc_id, position FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents) WHERE position >= 20 AND position < 120")
@@ -27,9 +31,24 @@ def s2(spark, d):
 
 @query("s3_load_excerpts", f"WITH {A.EXCERPTS} SELECT source, episode_idx, excerpt_idx, excerpt, excerpt_length, word_count, CAST(len(scenes) AS BIGINT) AS n_scenes FROM excerpts")
 def s3(spark, d):
-    rows = A.excerpts(spark, d)
-    nested = rows.groupBy("source", "episode_idx").agg(F.collect_list(F.struct("excerpt_idx", "excerpt", "word_count", "scenes")).alias("excerpts"))
-    return excerpts.load_excerpts(nested).withColumn("scenes", F.size("scenes").cast("bigint")).withColumnRenamed("scenes", "n_scenes")
+    """Metadata files of a hundred episodes each, as JSON arrays, read back; the URL holds the source."""
+    scene = lambda p, i: F.struct((i + 1).alias("scene_idx"), p.alias("prompt"), F.lit("f.png").alias("filename"), F.lit(False).alias("generated"))
+    rows = A.excerpts(spark, d).withColumn("scenes", F.transform("scenes", scene))
+    episodes = rows.groupBy("source", "episode_idx").agg(F.collect_list(F.struct("excerpt_idx", "excerpt", "excerpt_length", "word_count", "scenes")).alias("excerpts"))
+    shown = episodes.select(F.expr("episode_idx div 100").alias("file"), F.to_json(F.struct("episode_idx", F.col("source").alias("episode_url"), "excerpts")).alias("episode"))
+    path = A.scratch(spark, "episodes")
+    shown.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("episode"), ","), F.lit("]")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    found = files.read_excerpt_files(spark, path, "files").withColumn("source", F.col("episode_url"))
+    return excerpts.load_excerpts(found).withColumn("scenes", F.size("scenes").cast("bigint")).withColumnRenamed("scenes", "n_scenes")
+
+
+@query("s4_load_transcripts", f"WITH {A.TRANSCRIPTS}, {A.STRIPPED} SELECT r.sample, r.model, t.content, CAST(regexp_extract(r.content, 'Word count: (\\d+)', 1) AS BIGINT) AS stated FROM raw_transcripts r JOIN transcripts t ON r.sample = t.sample AND r.model = t.model")
+def s4(spark, d):
+    """A text file for each transcript, read back."""
+    path = A.scratch(spark, "transcripts")
+    rows = A.raw_transcripts(spark, d).select("sample", "model", F.col("content").alias("value"))
+    rows.repartition("sample").write.partitionBy("sample", "model").text(path)
+    return files.load_transcripts(spark, path, r"sample=([^/]+)/model=([^/]+)/[^/]+$").withColumn("sample", F.col("sample").cast("bigint"))
 
 
 @query("m1_strip_header", f"WITH {A.TRANSCRIPTS}, {A.STRIPPED} SELECT sample, model, content FROM transcripts")
@@ -70,7 +89,7 @@ ASSEMBLED = f"""{A.TURNS}, {A.CLEAN}, {A.RELABELLED}, assembled AS (
   SELECT episode_url, string_agg('Speaker ' || speaker_no || ': ' || text, chr(10) || chr(10) ORDER BY turn_idx) AS transcript, count(DISTINCT speaker_no) AS n_speakers FROM relabelled GROUP BY episode_url)"""
 
 
-@query("a2_assemble_transcripts", f"WITH {ASSEMBLED} SELECT *, CAST(length(transcript) AS BIGINT) AS n_chars FROM assembled")
+@query("a2_assemble_transcripts", f"WITH {ASSEMBLED} SELECT episode_url, CASE WHEN length(transcript) <= 50000 THEN transcript END AS transcript, n_speakers, CAST(length(transcript) AS BIGINT) AS n_chars FROM assembled")
 def a2(spark, d):
     return turns.assemble_transcripts(turns.clean_turns(A.turns(spark, d)))
 
@@ -78,7 +97,7 @@ def a2(spark, d):
 @query("p2_gate_by_length", f"""WITH {ASSEMBLED} SELECT episode_url, CASE WHEN length(transcript) < 2000 OR length(transcript) > 50000 THEN 'skipped' ELSE 'pass' END AS status,
   CASE WHEN length(transcript) < 2000 THEN 'too_short' WHEN length(transcript) > 50000 THEN 'too_long' END AS reason FROM assembled""")
 def p2(spark, d):
-    return excerpts.gate_by_length(turns.assemble_transcripts(turns.clean_turns(A.turns(spark, d)))).select("episode_url", "status", "reason")
+    return excerpts.gate_by_length(turns.assemble_transcripts(turns.clean_turns(A.turns(spark, d))), size_column="n_chars").select("episode_url", "status", "reason")
 
 
 @query("p3_fill_prompt", "SELECT doc_id, 'Read this: ' || text || chr(10) || 'Answer in JSON.' AS prompt FROM documents")
@@ -191,7 +210,7 @@ def p7(spark, d):
 
 @query("p8_validate_excerpts", f"WITH {A.EXCERPTS}, {VALIDATED} SELECT episode_idx, excerpt_idx, reason IS NULL AS valid, reason FROM validated")
 def p8(spark, d):
-    return excerpts.validate_excerpts(A.excerpts(spark, d), ["episode_idx", "excerpt_idx"]).select("episode_idx", "excerpt_idx", "valid", "reason")
+    return excerpts.validate_excerpts(A.excerpts(spark, d)).select("episode_idx", "excerpt_idx", "valid", "reason")
 
 
 @query("p9_marker_count", f"WITH {A.EXCERPTS} SELECT episode_idx, excerpt_idx, CAST(len(regexp_extract_all(lower(excerpt), '\\[(?:inaudible|sigh|music|laughter)\\]')) AS BIGINT) AS markers FROM excerpts")
@@ -211,14 +230,14 @@ def p11(spark, d):
 
 @query("a4_max_trigram_repeat", f"WITH {A.EXCERPTS}, source_rows AS (SELECT episode_idx * 10 + excerpt_idx AS id, * FROM excerpts), {TRIGRAMS} SELECT id, max_repeat FROM trigrams")
 def a4(spark, d):
-    return excerpts.max_trigram_repeat(A.excerpts(spark, d).withColumn("id", F.expr("episode_idx * 10 + excerpt_idx")), ["id"])
+    return A.excerpts(spark, d).select(F.expr("episode_idx * 10 + excerpt_idx").alias("id"), excerpts.max_trigram_repeat(F.col("excerpt")).alias("max_repeat")).filter("max_repeat is not null")
 
 
 STATUS = f"{A.EXCERPTS}, {VALIDATED}, status AS (SELECT episode_idx, CASE WHEN n > 0 THEN 'success' WHEN episode_idx % 3 = 0 THEN 'failed' WHEN episode_idx % 3 = 1 THEN 'not_visualizable' ELSE 'skipped' END AS status, n AS num_excerpts FROM (SELECT episode_idx, count(*) FILTER (WHERE reason IS NULL) AS n FROM validated GROUP BY episode_idx))"
 
 
 def _status(spark, d):
-    found = excerpts.validate_excerpts(A.excerpts(spark, d), ["episode_idx", "excerpt_idx"])
+    found = excerpts.validate_excerpts(A.excerpts(spark, d))
     counted = found.groupBy("episode_idx").agg(F.count_if("valid").alias("num_excerpts"))
     status = F.expr("CASE WHEN num_excerpts > 0 THEN 'success' WHEN episode_idx % 3 = 0 THEN 'failed' WHEN episode_idx % 3 = 1 THEN 'not_visualizable' ELSE 'skipped' END")
     return counted.withColumn("status", status), found.filter("not valid")
@@ -242,18 +261,17 @@ def w3(spark, d):
     return excerpts.batches(_status(spark, d)[0], 7, 3).groupBy("batch").agg(F.count("*").alias("episodes"), F.sum("num_excerpts").alias("excerpts"))
 
 
-@query("u1_union_sources", "SELECT doc_id, 'first' AS source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'second' FROM documents WHERE doc_id % 3 = 0")
+@query("u1_union_sources", "SELECT doc_id AS id, 'documents' AS source FROM documents UNION ALL SELECT page_id, 'pages' FROM pages")
 def u1(spark, d):
-    docs = A.table(spark, d, "documents").select("doc_id")
-    return mix.union_sources({"first": docs.filter("doc_id % 2 = 0"), "second": docs.filter("doc_id % 3 = 0")})
+    return mix.union_sources({"documents": A.table(spark, d, "documents").select(F.col("doc_id").alias("id")), "pages": A.table(spark, d, "pages").select(F.col("page_id").alias("id"))})
 
 
 @query("u2_mix_datasets", """WITH a AS (SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY md5('7-' || doc_id), doc_id LIMIT (SELECT CAST(floor(count(*) * 29.0::DOUBLE / 100.0::DOUBLE) AS BIGINT) FROM documents WHERE lang = 'en'))
-SELECT doc_id, 'english' AS source, md5('7-english-' || doc_id) AS shuffle FROM a UNION ALL SELECT doc_id, 'german', md5('7-german-' || doc_id) FROM documents WHERE lang = 'de'""")
+SELECT doc_id, 'english' AS source, md5('7-english-' || doc_id) AS shuffle FROM a UNION ALL SELECT doc_id, 'other', md5('7-other-' || doc_id) FROM documents WHERE lang IS DISTINCT FROM 'en'""")
 def u2(spark, d):
     docs = A.table(spark, d, "documents")
-    registry = {"english": docs.filter("lang = 'en'").select("doc_id"), "german": docs.filter("lang = 'de'").select("doc_id")}
-    return mix.mix_datasets("english%29,german", registry, 7, "doc_id")
+    registry = {"english": docs.filter("lang = 'en'").select("doc_id"), "other": docs.filter("not lang <=> 'en'").select("doc_id")}
+    return mix.mix_datasets("english%29,other", registry, 7, "doc_id")
 
 
 @query("h3_dense_index", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS idx FROM orders")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import chat, choice, compare, media, mix, packing, stories
-from ..operators.index import shared_folder
-from ..sources.files import numbered_index, write_jsonl
+from ..sources import files
 from . import adapters as A
 from .dialogue_queries import rounded
 from .registry import query
@@ -21,9 +20,15 @@ def _attached(spark, d, exact=None):
     return media.attach_images(A.scenes(spark, d), A.inventory(spark, d), exact)
 
 
-@query("s7_image_inventory", f"WITH {A.INVENTORY} SELECT source, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM inventory GROUP BY source")
+@query("s7_image_inventory", f"WITH {A.INVENTORY} SELECT source, count(DISTINCT episode_idx) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT i.source, i.size, s.episode_idx FROM inventory i JOIN scenes s ON i.source = s.source AND i.filename = s.filename) GROUP BY source")
 def s7(spark, d):
-    return A.inventory(spark, d).groupBy("source").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    """A file of so many bytes for each episode, listed."""
+    path = A.scratch(spark, "images")
+    rows = A.inventory(spark, d).withColumn("episode_idx", F.regexp_extract("filename", r"^ep(\d+)_", 1))
+    sizes = rows.groupBy("source", "episode_idx").agg(F.sum("size").alias("size"))
+    sizes.select("source", "episode_idx", F.expr("repeat('x', cast(size - 1 as int))").alias("value")).repartition("source", "episode_idx").write.partitionBy("source", "episode_idx").text(path)
+    listed = files.image_inventory(spark, path, "files", "*.txt").withColumn("source", F.regexp_extract("path", "source=([^/]+)/", 1))
+    return listed.groupBy("source").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
 @query("j1_attach_images", f"WITH {ATTACHED} SELECT source, episode_idx, excerpt_idx, images, n_images FROM attached")
@@ -46,12 +51,22 @@ def a7(spark, d):
     return media.image_histogram(_attached(spark, d))
 
 
-@query("a9_generation_summary", f"""WITH {A.INVENTORY}, results AS (SELECT s.filename, i.size, CASE WHEN i.filename IS NOT NULL THEN 'success' WHEN s.scene_idx = 1 THEN 'failed' ELSE 'skipped' END AS status FROM scenes s LEFT JOIN inventory i ON s.source = i.source AND s.filename = i.filename)
-SELECT status, count(*) AS n, round(coalesce(sum(size), 0) / 1048576.0::DOUBLE, 6) AS megabytes, round(avg(CASE WHEN status = 'success' THEN size / 1024.0::DOUBLE END), 6) AS avg_kilobytes, coalesce(string_agg(CASE WHEN status = 'failed' THEN filename END, ',' ORDER BY filename), '') AS failed_files FROM results GROUP BY status""")
-def a9(spark, d):
+RESULTS = f"{A.INVENTORY}, results AS (SELECT s.filename, i.size, CASE WHEN i.filename IS NOT NULL THEN 'success' WHEN s.scene_idx = 1 THEN 'failed' ELSE 'skipped' END AS status FROM scenes s LEFT JOIN inventory i ON s.source = i.source AND s.filename = i.filename)"
+
+
+def _results(spark, d):
     joined = A.scenes(spark, d).join(A.inventory(spark, d).withColumn("there", F.lit(True)), ["source", "filename"], "left")
-    status = F.when(F.col("there"), "success").when(F.col("scene_idx") == 1, "failed").otherwise("skipped")
-    return rounded(media.generation_summary(joined.withColumn("status", status)), "megabytes", "avg_kilobytes")
+    return joined.withColumn("status", F.when(F.col("there"), "success").when(F.col("scene_idx") == 1, "failed").otherwise("skipped"))
+
+
+@query("a9_generation_summary", f"WITH {RESULTS} SELECT status, count(*) AS n, round(coalesce(sum(size), 0) / 1048576.0::DOUBLE, 6) AS megabytes, round(avg(CASE WHEN status = 'success' THEN size / 1024.0::DOUBLE END), 6) AS avg_kilobytes FROM results GROUP BY status")
+def a9(spark, d):
+    return rounded(media.generation_summary(_results(spark, d)), "megabytes", "avg_kilobytes")
+
+
+@query("a9_failed_files", f"WITH {RESULTS} SELECT filename FROM results WHERE status = 'failed'")
+def a9_failed(spark, d):
+    return media.failed_files(_results(spark, d))
 
 
 # ---- chat records -------------------------------------------------------------------------------
@@ -65,7 +80,13 @@ def m12(spark, d):
 
 @query("s5_chat_turns", f"WITH {A.RECORDS} SELECT record_id, CAST(len(image) AS BIGINT) AS images, CAST(len(video) AS BIGINT) AS videos, CAST(len(conversations) AS BIGINT) AS turns FROM records")
 def s5(spark, d):
-    return A.records(spark, d).select("record_id", *(F.size(c).cast("bigint").alias(n) for c, n in (("image", "images"), ("video", "videos"), ("conversations", "turns"))))
+    """Records as JSON lines, a single image by its bare name, read back."""
+    rows = A.records(spark, d)
+    bare = F.when(F.size("image") == 1, F.col("image")[0]).otherwise(F.to_json("image"))
+    path = A.scratch(spark, "records")
+    files.write_jsonl(rows.select(F.col("record_id").alias("id"), bare.alias("image"), "video", "conversations"), path)
+    read = files.read_annotations(spark, path, lines=True).withColumn("record_id", F.col("id").cast("bigint"))
+    return read.select("record_id", *(F.size(c).cast("bigint").alias(n) for c, n in (("image", "images"), ("video", "videos"), ("conversations", "turns"))))
 
 
 @query("p12_rewrite_prompt", f"""WITH {A.RECORDS} SELECT record_id, array_to_string(list_transform(conversations, lambda t: CASE WHEN t."from" = 'human' THEN repeat('<image>', len(image)) || chr(10) || 'Tell the story.' ELSE t."value" END), '|') AS turns FROM records""")
@@ -73,7 +94,16 @@ def p12(spark, d):
     return chat.rewrite_prompt(A.records(spark, d), "Tell the story.").select("record_id", F.array_join(F.transform("conversations", lambda t: t["value"]), "|").alias("turns"))
 
 
-@query("p13_segment_messages")
+SEGMENTS = f"""{A.RECORDS}, t AS (SELECT record_id, image, video, unnest(conversations) AS t, generate_subscripts(conversations, 1) - 1 AS turn_no FROM records),
+cuts AS (SELECT *, CASE WHEN t."from" = 'human' THEN string_split(regexp_replace(t."value", '(<image>|<video>)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) ELSE [t."value"] END AS cut FROM t),
+parts AS (SELECT record_id, image, video, turn_no, t."from" AS side, unnest(cut) AS part, generate_subscripts(cut, 1) AS pos FROM cuts),
+kinds AS (SELECT *, CASE WHEN side = 'human' AND part = '<image>' THEN 'image' WHEN side = 'human' AND part = '<video>' THEN 'video' ELSE 'text' END AS kind FROM parts),
+counted AS (SELECT *, count(*) OVER (PARTITION BY record_id, kind ORDER BY turn_no, pos ROWS UNBOUNDED PRECEDING) AS k, count(*) FILTER (WHERE kind = 'image') OVER (PARTITION BY record_id) AS images, count(*) FILTER (WHERE kind = 'video') OVER (PARTITION BY record_id) AS videos FROM kinds),
+valued AS (SELECT record_id, turn_no, pos, kind, CASE kind WHEN 'image' THEN image[k] WHEN 'video' THEN video[k] ELSE CASE WHEN side = 'human' THEN {A.strip_sql('part')} ELSE part END END AS value,
+  CASE WHEN images > len(image) OR videos > len(video) THEN 'too_many_tags' WHEN images < len(image) OR videos < len(video) THEN 'unused_media' END AS problem FROM counted)"""
+
+
+@query("p13_segment_messages", f"WITH {SEGMENTS} SELECT record_id, turn_no, row_number() OVER (PARTITION BY record_id, turn_no ORDER BY pos) AS segment_no, kind, value, problem FROM valued WHERE kind <> 'text' OR value <> ''")
 def p13(spark, d):
     return chat.segment_messages(A.records(spark, d))
 
@@ -179,7 +209,7 @@ walk AS (
   SELECT CAST(0 AS BIGINT) AS n, (SELECT list(photo_id) FROM used_photos) AS taken, CAST(NULL AS BIGINT) AS story_id, CAST(NULL AS VARCHAR) AS priority, CAST(0 AS BIGINT) AS chosen
   UNION ALL
   SELECT o.n, CASE WHEN list_has_any(w.taken, o.photos) THEN w.taken ELSE list_concat(w.taken, o.photos) END, CASE WHEN list_has_any(w.taken, o.photos) THEN NULL ELSE o.story_id END, o.priority, w.chosen + CASE WHEN list_has_any(w.taken, o.photos) THEN 0 ELSE 1 END
-  FROM walk w JOIN ordered o ON o.n = w.n + 1 WHERE w.chosen < 40)"""
+  FROM walk w JOIN ordered o ON o.n = w.n + 1 WHERE w.chosen < {{count}})"""
 
 
 def _selected(spark, d, count=40, fill=False):
@@ -187,26 +217,27 @@ def _selected(spark, d, count=40, fill=False):
     return stories.select_disjoint(stories.complete_stories(A.photos(spark, d)), used, count, 5, fill)
 
 
-@query("u3_select_disjoint", f"WITH {GREEDY} SELECT story_id, priority FROM walk WHERE story_id IS NOT NULL")
+@query("u3_select_disjoint", f"WITH {GREEDY.format(count=40)} SELECT story_id, priority FROM walk WHERE story_id IS NOT NULL")
 def u3(spark, d):
     return _selected(spark, d).select("story_id", "priority")
 
 
-@query("u4_select_filled")
+@query("u4_select_filled", f"""WITH {GREEDY.format(count=600)}, chosen AS (SELECT story_id, priority, false AS "overlaps" FROM walk WHERE story_id IS NOT NULL)
+SELECT * FROM (SELECT * FROM chosen UNION ALL SELECT story_id, priority, true FROM ordered WHERE story_id NOT IN (SELECT story_id FROM chosen)) ORDER BY "overlaps", priority LIMIT 600""")
 def u4(spark, d):
     return _selected(spark, d, 600, True)
 
 
-@query("w9_name_samples", f"WITH {GREEDY}, chosen AS (SELECT story_id, row_number() OVER (ORDER BY priority) - 1 AS nth FROM walk WHERE story_id IS NOT NULL), flat AS (SELECT c.story_id, nth, unnest(photos) AS photo_id, generate_subscripts(photos, 1) AS image_no FROM chosen c JOIN stories s ON c.story_id = s.story_id) SELECT 'sample_' || lpad(CAST(nth + 51 AS VARCHAR), 2, '0') || '_story_' || story_id AS sample, story_id, image_no, 'image_' || image_no || '_' || photo_id || '.jpg' AS image, photo_id FROM flat")
+@query("w9_name_samples", f"WITH {GREEDY.format(count=40)}, chosen AS (SELECT story_id, row_number() OVER (ORDER BY priority) - 1 AS nth FROM walk WHERE story_id IS NOT NULL), flat AS (SELECT c.story_id, nth, unnest(photos) AS photo_id, generate_subscripts(photos, 1) AS image_no FROM chosen c JOIN stories s ON c.story_id = s.story_id) SELECT 'sample_' || lpad(CAST(nth + 51 AS VARCHAR), 2, '0') || '_story_' || story_id AS sample, story_id, image_no, 'image_' || image_no || '_' || photo_id || '.jpg' AS image, photo_id FROM flat")
 def w9(spark, d):
     found = stories.complete_stories(A.photos(spark, d)).select("story_id", "photos")
     return stories.name_samples(_selected(spark, d).join(found, "story_id"), 51)
 
 
-@query("j6_pair_by_rank", """WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rank FROM orders WHERE o_orderkey % 5 = 0), b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS rank FROM part)
+@query("j6_pair_by_rank", """WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rank FROM orders), b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS rank FROM part)
 SELECT coalesce(a.rank, b.rank) AS rank, o_orderkey, p_partkey, CASE WHEN coalesce(a.rank, b.rank) IN (3, 4) THEN 'skipped' WHEN a.rank IS NULL THEN 'missing_left' WHEN b.rank IS NULL THEN 'missing_right' ELSE 'paired' END AS status FROM a FULL JOIN b ON a.rank = b.rank""")
 def j6(spark, d):
-    left = A.table(spark, d, "orders").select("o_orderkey").filter("o_orderkey % 5 = 0")
+    left = A.table(spark, d, "orders").select("o_orderkey")
     return stories.pair_by_rank(left, A.table(spark, d, "part").select("p_partkey"), ["o_orderkey"], ["p_partkey"], [3, 4])
 
 
@@ -242,7 +273,10 @@ extracted AS (SELECT index, split, gt, coalesce(o, t, nullif(j0, 'Z')) AS extrac
 
 @query("s6_numbered_index", "SELECT p_partkey AS index, p_name FROM part")
 def s6(spark, d):
-    return numbered_index(A.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("index"), "p_name"))
+    """A table of tab-separated values, read back."""
+    path = A.scratch(spark, "benchmark")
+    A.table(spark, d, "part").select(F.col("p_partkey").alias("index"), "p_name").write.csv(path, sep="\t", header=True, escape='"')
+    return files.read_mcq(spark, path)
 
 
 @query("m5_reformulate_open", f"WITH {REFORMED} SELECT index, A, B, was_open FROM reformed")
@@ -474,7 +508,12 @@ def a12(spark, d):
     return mix.prompt_stats(made)
 
 
-@query("m11_generate_prompts")
+def _pick_sql(values: list[str], salt: str) -> str:
+    return f"(SELECT list_extract({values!r}, CAST(CAST('0x' || substr(md5('3-{salt}-' || id), 1, 8) AS BIGINT) % {len(values)} + 1 AS INTEGER)))"
+
+
+@query("m11_generate_prompts", f"""WITH picked AS (SELECT id, {_pick_sql([*STYLES, ''], 'style')} AS style, {_pick_sql([*TONES, ''], 'tone')} AS tone, {_pick_sql(TEMPLATES, 'template')} AS template FROM (SELECT p_partkey AS id FROM part)),
+short AS (SELECT *, trim(regexp_replace(replace(replace(template, '{{style}}', style), '{{tone}}', tone), ' +', ' ', 'g')) AS short_prompt FROM picked) SELECT *, short_prompt || ' Keep to the pictures.' AS full_prompt FROM short""")
 def m11(spark, d):
     ids = A.table(spark, d, "part").select(F.col("p_partkey").alias("id"))
     return mix.generate_prompts(ids, 3, STYLES, TONES, TEMPLATES, "Keep to the pictures.")
@@ -502,9 +541,15 @@ def j9(spark, d):
 
 @query("s8_jsonl_round_trip", "SELECT conv_id, turn, role, text FROM conversations")
 def s8(spark, d):
-    import uuid
-
     rows = A.table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
-    path = f"{shared_folder(spark)}/turnloom-jsonl-{uuid.uuid4().hex}"
-    write_jsonl(rows, path)
+    path = A.scratch(spark, "jsonl")
+    files.write_jsonl(rows, path)
     return spark.read.schema(rows.schema).json(path)
+
+
+@query("s8_csv_round_trip", "SELECT doc_id, text, lang FROM documents")
+def s8_csv(spark, d):
+    rows = A.table(spark, d, "documents").select("doc_id", "text", "lang")
+    path = A.scratch(spark, "csv")
+    files.write_csv(rows, path)
+    return files.read_csv(spark, path, rows.schema)

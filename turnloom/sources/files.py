@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 
@@ -15,6 +16,10 @@ EXCERPT_FILE = (
     "scenes:array<struct<scene_idx:int,prompt:string,filename:string,generated:boolean>>>>"
 )
 
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: path of a transcript: its sample, then its model
+TRANSCRIPT_FILE = r"([^/]+)/transcript_([^/.]+)\.txt$"
+
 
 def read_turns(spark: SparkSession, path: str) -> DataFrame:
     """Turns of JSON lines (also gzipped, one task a file, so dealt anew); broken lines go. turn_idx is the line's place in the read order."""
@@ -23,10 +28,10 @@ def read_turns(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_annotations(spark: SparkSession, path: str, lines: bool) -> DataFrame:
-    """Chat records of a JSON array or of JSON lines; single media names become lists."""
-    raw = spark.read.schema("image string, video string, conversations array<struct<`from`:string,value:string>>").option("multiLine", not lines).json(path)
+    """Chat records of a JSON array or of JSON lines, with their id where they have one; single media names become lists."""
+    raw = spark.read.schema("id string, image string, video string, conversations array<struct<`from`:string,value:string>>").option("multiLine", not lines).json(path)
     as_list = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<string>")).when(F.startswith(c, F.lit("[")), F.from_json(c, "array<string>")).otherwise(F.array(c))
-    return raw.select(as_list("image").alias("image"), as_list("video").alias("video"), "conversations")
+    return raw.select("id", as_list("image").alias("image"), as_list("video").alias("video"), "conversations")
 
 
 def read_excerpt_files(spark: SparkSession, path: str, source: str) -> DataFrame:
@@ -45,18 +50,17 @@ def numbered_index(items: DataFrame) -> DataFrame:
     return items.withColumn("index", F.col("index").cast("bigint")) if digits else items
 
 
-def load_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(sample, model, content, stated) of files sample/transcript_MODEL.txt: the dialogue without its header, and the stated word count."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    model = F.regexp_extract("path", r"transcript_([^/.]+)\.txt$", 1)
-    sample = F.element_at(F.split("path", "/"), -2)
+def load_transcripts(spark: SparkSession, path: str, names: str = TRANSCRIPT_FILE) -> DataFrame:
+    """(sample, model, content, stated) of text files whose path tells sample and model: the dialogue without its header, and the stated word count."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    sample, model = F.regexp_extract("path", names, 1), F.regexp_extract("path", names, 2)
     return files.filter(model != "").select(sample.alias("sample"), model.alias("model"), T.strip_header(F.col("value")).alias("content"), T.header_value(F.col("value"), "Word count").try_cast("bigint").alias("stated"))
 
 
-def image_inventory(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """(source, filename, size) of the image files under a path; file contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg}").load(path)
-    return found.select(F.lit(source).alias("source"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"))
+def image_inventory(spark: SparkSession, path: str, source: str, names: str = "*.{png,jpg}") -> DataFrame:
+    """(source, filename, size, path) of the image files under a path; file contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path)
+    return found.select(F.lit(source).alias("source"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"), "path")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -65,5 +69,10 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; line breaks inside values are kept by quoting."""
-    df.write.option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; line breaks inside values are kept by quoting, and white space at their ends stays."""
+    df.write.options(**CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """CSV as write_csv writes it; an empty text reads as null."""
+    return spark.read.schema(schema).options(multiLine=True, **CSV).csv(path)
