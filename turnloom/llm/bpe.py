@@ -16,21 +16,20 @@ are read, whatever the names of the others.
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import ADDED, normal, pieces
+from . import buffers as B
+from .pieces import PieceEncoder, Vocabulary
 
-MEMO_CHUNKS = 250_000  # pieces of text remembered by a worker before it starts afresh
-BATCH_TEXTS = 2000  # texts whose new words are walked together
+TEXT_BYTES = 2 << 20  # text encoded together in a task; a longer single text is encoded alone
 
 
 def byte_symbols() -> list[str]:
@@ -116,9 +115,9 @@ class TokenAutomaton:
         self.inside[list(inside)] = list(inside.values())
         self.last[list(last)] = list(last.values())
 
-    def walk(self, words: list[bytes]) -> list[list[int]]:
-        """The ids along each word's path."""
-        out: list[list[int]] = [[]] * len(words)
+    def walk(self, words: list[bytes]) -> list[bytes]:
+        """The ids along each word's path, as little-endian numbers of 32 bits."""
+        out = [b""] * len(words)
         sizes = np.array([len(w) for w in words], np.int64)
         bucket = np.ceil(np.log2(np.maximum(sizes, 4))).astype(int)
         for k in np.unique(bucket):
@@ -129,7 +128,7 @@ class TokenAutomaton:
                         out[i] = ids
         return out
 
-    def _walk(self, words: list[bytes], sizes: np.ndarray) -> list[list[int]]:
+    def _walk(self, words: list[bytes], sizes: np.ndarray) -> list[bytes]:
         n, width = len(words), int(sizes.max())
         symbols = np.zeros((width, n), np.uint8)
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
@@ -167,69 +166,36 @@ class TokenAutomaton:
             left, at = left[at > 0], at[at > 0]
         ids, owners = np.concatenate(ids[::-1]), np.concatenate(owners[::-1])
         order = np.argsort(owners, kind="stable")
-        flat = ids[order].tolist()
-        stops = np.cumsum(np.bincount(owners, minlength=n)).tolist()
+        flat = ids[order].astype("<u4").tobytes()
+        stops = (4 * np.cumsum(np.bincount(owners, minlength=n))).tolist()
         return [flat[a:b] for a, b in zip([0, *stops], stops)]
 
 
 class WordBpe:
-    """A vocabulary file with word ends: normalisation, word pattern, automaton, added tokens."""
+    """The automaton of a vocabulary file, with its labels."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        ids = {t: i for t, i in model["vocab"].items() if t not in self.added}
-        self.automaton = TokenAutomaton(ids, merges, model.get("end_of_word_suffix") or "")
-        self.names = {i: t for t, i in ids.items()} | {i: t for t, i in self.added.items()}
-        splits = [p["pattern"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.pattern = regex.compile(splits[0]["Regex"])
-        self.stop = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.memo: dict[str, tuple[int, str, str]] = {}
-
-    def words(self, chunk: str) -> list[str | int]:
-        """A piece of text as words and ids of added tokens."""
-        if self.stop and ADDED in chunk:
-            parts = [part for part in self.stop.split(chunk) if part]
-            return [w for part in parts for w in ([self.added[part]] if part in self.added else self.pattern.findall(normal(part)))]
-        return [chunk] if chunk.isascii() and chunk.isalpha() else self.pattern.findall(chunk)
-
-    def learn(self, chunks: set[str]) -> None:
-        """Walks the words of new pieces and remembers each piece's count, ids and labels (a space before each)."""
-        split = {c: self.words(c) for c in chunks}
-        new = list({w for words in split.values() for w in words if isinstance(w, str)})
-        names = self.names
-        known: dict = {i: (1, f" {i}", f" {t}") for t, i in self.added.items()}
-        for w, ids in zip(new, self.automaton.walk([w.encode("utf-8", "replace") for w in new]), strict=True):
-            known[w] = (len(ids), " " + " ".join(map(str, ids)), " " + " ".join([names[i] for i in ids]))
-        memo = self.memo
-        for chunk, words in split.items():
-            if len(words) == 1:
-                memo[chunk] = known[words[0]]
-            else:
-                found = [known[w] for w in words]
-                memo[chunk] = (sum([f[0] for f in found]), "".join([f[1] for f in found]), "".join([f[2] for f in found]))
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
-        """Of each text: number of tokens, decimal ids and labels joined by spaces."""
-        for k in range(0, len(texts), BATCH_TEXTS):
-            split = [pieces(t) for t in texts[k : k + BATCH_TEXTS]]
-            memo = self.memo
-            new = {c for chunks in split for c in chunks if c not in memo}
-            if new and len(memo) + len(new) > MEMO_CHUNKS:
-                memo.clear()
-                new = {c for chunks in split for c in chunks}
-            if new:
-                self.learn(new)
-            for chunks in split:
-                found = [memo[c] for c in chunks]
-                yield sum([f[0] for f in found]), "".join([f[1] for f in found])[1:], "".join([f[2] for f in found])[1:]
-
-    def decode(self, ids: list[int]) -> str:
-        """The labels of the arcs in order, with a space between them, as the vocabulary's library decodes."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        vocabulary = Vocabulary(path)
+        self.automaton = TokenAutomaton(vocabulary.ids, vocabulary.merges, vocabulary.end)
+        self.encoder = PieceEncoder(vocabulary, lambda words: self.automaton.walk([w.encode("utf-8", "replace") for w in words]))
+        names = {i: t for t, i in (vocabulary.ids | vocabulary.added).items()}
+        every = range(max(names, default=0) + 1)
+        self.labels = pa.array([names.get(i) for i in every], pa.string())
+        self.numbers = pa.array([str(i) for i in every], pa.string())
+
+    def encode(self, texts: list[str | None]) -> pa.ListArray:
+        """The ids of each text."""
+        found = self.encoder.encode(texts)
+        stops = np.cumsum([0, *(len(b) // 4 for b in found)], dtype=np.int64)
+        return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
+
+    def spelled(self, ids: pa.ListArray, labels: pa.Array) -> pa.Array:
+        """The labels of each text's ids with a space between them, as the vocabulary's library decodes."""
+        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, labels.take(ids.values)), " ")
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The labels of the arcs in order."""
+        return self.spelled(ids, self.labels)
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -248,8 +214,10 @@ def send(df: DataFrame, path: str) -> str:
     return os.path.basename(path)
 
 
-def _sha(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+def _digests(texts: pa.Array) -> pa.Array:
+    data, offsets = B.texts(texts)
+    at = offsets.tolist()
+    return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at, at[1:])], pa.string())
 
 
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
@@ -262,12 +230,10 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(name)
         for batch in batches:
-            counts, ids, decoded = [], [], []
-            for n, numbers, labels in bpe.encode(batch.column("text").to_pylist()):
-                counts.append(n)
-                ids.append(_sha(numbers) if digests else [int(i) for i in numbers.split()])
-                decoded.append(_sha(labels) if digests else labels)
-            arrays = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", *columns])
+            for piece in B.slices(batch, "text", TEXT_BYTES):
+                ids = bpe.encode(piece.column("text").to_pylist())
+                decoded = bpe.decode(ids)
+                made = [_digests(bpe.spelled(ids, bpe.numbers)), _digests(decoded)] if digests else [ids, decoded]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), *made], names=["doc_id", "n_tokens", *columns])
 
     return slim.mapInArrow(run, f"doc_id {kind}, n_tokens long, {columns[0]} {'string' if digests else 'array<int>'}, {columns[1]} string")

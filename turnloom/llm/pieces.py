@@ -1,19 +1,27 @@
-"""Texts as pieces that a word-end vocabulary encodes one by one.
+"""Texts as pieces that a word-end vocabulary encodes one by one, and a bounded memory of them.
 
 The vocabulary's pattern never joins characters across white space, nor letters or digits with other
 signs, so a text is the sequence of its pieces between white space; a stop or comma that stands alone
-is a piece of its own. Few pieces are new, so callers remember what they know of each.
+is a piece of its own. Pieces are cut into words by the vocabulary's pattern, and words are what an
+encoder gets. Few pieces are new, so the ids of each are remembered.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from collections.abc import Callable
+
+import regex
 
 #: Python counts these as white space, the vocabulary's pattern does not
 _ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
-_SIGNS_TOGETHER = re.compile(r"(?:[^\w\s]|_)(?:[^\w\s]|_)|[̀-ͯ]")
+_SIGNS_TOGETHER = re.compile(r"(?:[^\w\s]|_)(?:[^\w\s]|_)|[\u0300-\u036f]")
 ADDED = "<|"  # begins every added token; pieces that hold it stay as they are
+REMEMBERED_BYTES = 32 << 20  # of pieces and ids, in each of two generations
+ENTRY_BYTES = 200  # what a remembered piece takes beside its characters and ids
+LONG_PIECE = 64  # longer pieces are not remembered
 
 
 def normal(text: str) -> str:
@@ -37,3 +45,69 @@ def pieces(text: str | None) -> list[str]:
     if not _SIGNS_TOGETHER.search(text):
         text = text.replace(".", " .").replace(",", " ,")
     return text.split()
+
+
+class Vocabulary:
+    """A vocabulary file with word ends: names and ids, merges, the word pattern, added tokens."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        self.merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.ids = {t: i for t, i in model["vocab"].items() if t not in self.added}
+        self.end = model.get("end_of_word_suffix") or ""
+        splits = [p["pattern"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        self.pattern = regex.compile(splits[0]["Regex"])
+        self.stop = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+
+    def words(self, piece: str) -> list[str | int]:
+        """A piece of text as words and ids of added tokens."""
+        if self.stop and ADDED in piece:
+            parts = [part for part in self.stop.split(piece) if part]
+            return [w for part in parts for w in ([self.added[part]] if part in self.added else self.pattern.findall(normal(part)))]
+        return [piece] if piece.isascii() and piece.isalpha() else self.pattern.findall(piece)
+
+
+class PieceEncoder:
+    """Texts to the bytes of their ids (little-endian, 32 bits), by an encoder of single words.
+
+    Pieces are remembered in two generations: when the younger one is full it becomes the older one,
+    and pieces that come again move to the younger, so frequent ones are never forgotten.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, encode_words: Callable[[list[str]], list[bytes]]):
+        self.words, self.encode_words = vocabulary.words, encode_words
+        self.added = {i: i.to_bytes(4, "little") for i in vocabulary.added.values()}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def learn(self, found: set[str]) -> dict[str, bytes]:
+        """The ids of new pieces."""
+        split = {c: self.words(c) for c in found}
+        new = list({w for words in split.values() for w in words if isinstance(w, str)})
+        known: dict = self.added | dict(zip(new, self.encode_words(new), strict=True))
+        return {c: known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for c, words in split.items()}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [pieces(t) for t in texts]
+        missing = {c for chunks in split for c in chunks if c not in self.young}
+        passing: dict[str, bytes] = {}  # long pieces, for these texts only
+        if missing:
+            made = {c: self.old[c] for c in missing if c in self.old}
+            made |= self.learn({c for c in missing if c not in made})
+            passing = {c: ids for c, ids in made.items() if len(c) > LONG_PIECE}
+            added = sum([ENTRY_BYTES + len(c) + len(ids) for c, ids in made.items() if c not in passing])
+            if self.size + added > REMEMBERED_BYTES:
+                made |= {c: self.young[c] for chunks in split for c in chunks if c in self.young}
+                self.old, self.young, self.size = self.young, {}, 0
+                added = sum([ENTRY_BYTES + len(c) + len(ids) for c, ids in made.items() if c not in passing])
+            self.young.update(made)
+            self.size += added
+        get = self.young.__getitem__
+        out = [b"".join(map(get, chunks)) for chunks in split]
+        for c in passing:
+            del self.young[c]
+        return out
