@@ -1,11 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read a clause's word classes: insult, threat, target, negation and reported
-speech. Their composition is one transition table; the state at a clause's end says what the clause
-does (insults, insults someone, threatens, denies an insult, reports one). A text's matched clauses,
-counted by kind, get weights, and the weighted sum becomes a probability. Weights start from the
-grammar's own and are fitted on labelled rows; insult words beside the fixed ones are learnt from
-the same rows: whole words or stems that toxic texts share and clean ones lack.
+Five transducers read the word classes of a clause: insult, target, threat, negation and reported
+speech. Each keeps how many words ago something stood, so an insult is aimed only at a target a few
+words away, a threat needs a modal before it and its object right behind it, and a negation covers
+the next words. An arc may output a mark; the marks that the five output at one word together make an
+event. Composition runs the five side by side, its arcs weighing the sum of their marks' weights. The
+heaviest event of a clause is the clause's, lightened where the clause reports speech; a text scores
+by its heaviest event, by whether there is another, and by the logarithm of their number.
+
+The weights start from the grammar's own and are fitted on labelled rows, event by event; where the
+rows show no case of a mark, its own weight holds. Insult words beside the fixed ones are learnt from
+the same rows, in any language: whole words that toxic texts hold and clean ones lack, and stems that
+toxic texts hold again and again and clean ones at most once; these have a mark of their own.
 
 Null and empty texts match no clause and get the score of such texts. Texts of any length are read
 whole. Without labels the grammar's own weights hold. Repeated rows get equal scores; an empty
@@ -14,7 +20,6 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -28,79 +33,122 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, sample, sigmoid
 
-OTHER, INSULT, THREAT, MODAL, TARGET, NEGATION, REPORT, BREAK = range(8)
+CLASSES = OTHER, INSULT, HARM, HURT, DIE, MODAL, YOU, THEM, SELF, LINK, NEGATION, REPORT, STEM = range(13)
 WORDS = {
-    INSULT: "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown imbecile scumbag filth vermin bastard asshole bitch retard",
-    THREAT: "kill hurt burn destroy murder shoot stab beat hang strangle hunt die suffer",
-    MODAL: "will gonna going shall ll hope should must want deserve deserves",
-    TARGET: "you your yours u ya he she they him her them people",
+    INSULT: "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown imbecile scumbag filth vermin bastard asshole bitch retard idioten dummkopf trottel arschloch crétin connard abruti estúpido idiota imbécil basura",
+    HARM: "kill murder shoot stab strangle destroy töten umbringen erschießen tuer égorger matar",
+    HURT: "hurt beat burn hang hunt schlagen verletzen frapper brûler golpear quemar",
+    DIE: "die suffer sterben mourir crever morir sufrir",
+    MODAL: "will gonna going shall ll should must deserve deserves hope wirst werde werden sollst vais allons dois voy vamos debes",
+    YOU: "you your dich dir euch du toi vous tu te ti usted ustedes",
+    THEM: "he she they him her them sie ihn ihnen elles ils lui ellos ellas",
+    SELF: "yourself yourselves",
+    LINK: "with for from in at by to on about mit für von zu avec pour dans con para por",
     NEGATION: "not never no isn aren wasn weren don doesn didn nobody without nicht kein keine nie pas jamais nunca",
-    REPORT: "said says saying say called calls calling wrote writes quoted quote reported reports claimed claims accused alleged denied",
+    REPORT: "said says saying say called calls calling wrote writes quoted quote reported reports claimed claims accused alleged denied sagte nannte schrieb dit appelé écrit dijo llamó escribió",
 }
-NEGATION_REACH = 3  # words after a negation that it still covers
+MARKS = ["insult", "stem", "aimed", "denied", "threat", "weak_threat", "reported"]
+#: the grammar's own weights: of the marks, of more events than one, of the logarithm of their number, and the bias
+OWN_WEIGHTS = np.array([5.0, 1.0, 1.5, -4.0, 5.2, 1.5, -3.0, 0.5, 0.3, -4.0])
+AIM_REACH = 3  # words between an insult and its target
+NEGATION_REACH = 3  # words after a negation that it covers
+MODAL_REACH = 3  # words between a modal, or the one spoken to, and a threat
+OBJECT_REACH = 2  # words from a threat to its object
 THRESHOLD = 0.7
-KINDS = ["insult", "insult_at_target", "threat", "denied", "reported"]
-#: the grammar's own weights: presence and log count of each kind, then the bias
-OWN_WEIGHTS = np.array([3.5, 1.0, 1.0, 0.5, 4.0, 1.0, 0.2, 0.0, 0.5, 0.0, -4.0])
 PRIOR_STRENGTH = 2.0
+FIT_ROUNDS = 4
 STEM_SIZES = (4, 5, 6)
 MIN_TEXTS = 4  # toxic texts that a learnt word must explain beyond those learnt before it
 MAX_CLEAN_SHARE = 0.02  # its frequency in clean texts over that in toxic ones
-CLEAN_COST = 20
+CLEAN_COST = 5
 MAX_LEARNT = 2000
 MEMO_WORDS = 300_000
 
 _TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if c < 0x30 or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 _PIECES = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[.!?;\n]")
+_LEADS = {INSULT, STEM, HARM, HURT, DIE}  # no event without one of these
 
-# Each transducer: a start state and a step (state, class) -> state.
-TRANSDUCERS = {
-    "insult": lambda s, c: 1 if c == INSULT else s,
-    "threat": lambda s, c: 2 if s == 2 or s == 1 and c == THREAT else 1 if c == MODAL or s == 1 else 0,
-    "target": lambda s, c: 1 if c == TARGET else s,
-    # 0..reach: words still covered; reach + 1: an insult was denied; reach + 2: one was asserted
-    "negation": lambda s, c: (
-        s if s == NEGATION_REACH + 2
-        else (NEGATION_REACH + 1 if 0 < s <= NEGATION_REACH else NEGATION_REACH + 2) if c == INSULT
-        else s if s == NEGATION_REACH + 1
-        else NEGATION_REACH if c == NEGATION
-        else max(s - 1, 0)
-    ),
-    "report": lambda s, c: 1 if c == REPORT else s,
-}
+
+def _passed(age: int) -> int:
+    """An age one word later; 0 is out of reach."""
+    return max(age - 1, 0)
+
+
+# A transducer steps from (state, class) to (state, marks); ages count down to 0.
+def insult(state: int, c: int) -> tuple:
+    return 0, ("insult",) if c == INSULT else ("stem",) if c == STEM else ()
+
+
+def target(state: tuple[int, int, int], c: int) -> tuple:
+    """Targets and insults still in reach, and the insult's class; one that meets a target is aimed, whichever comes first."""
+    aimed, insulted, kind = _passed(state[0]), _passed(state[1]), state[2]
+    if c in (INSULT, STEM):
+        return (aimed, AIM_REACH + 1, c), ("aimed",) if aimed else ()
+    if c in (YOU, THEM, SELF):
+        return (AIM_REACH + 1, insulted, kind), ("insult" if kind == INSULT else "stem", "aimed") if insulted else ()
+    return (aimed, insulted, kind if insulted else 0), ()
 
 
-def compose() -> tuple[list[list[int]], list[int]]:
-    """Transition table of the composition over word classes, and the kind of each state (-1: none)."""
-    start = (0,) * len(TRANSDUCERS)
-    number, table = {start: 0}, []
-    for state in iter_growing(number):
-        row = []
-        for c in range(BREAK):
-            to = tuple(step(s, c) for s, step in zip(state, TRANSDUCERS.values(), strict=True))
-            row.append(number.setdefault(to, len(number)))
-        table.append([*row, 0])
-    return table, [kind_of(*state) for state in number]
+def threat(state: tuple[int, int, int, int], c: int) -> tuple:
+    """Modal, one spoken to, and a threatening verb still in reach, and whether that verb is strong."""
+    modal, you, verb, strong = state
+    modal, you, verb = _passed(modal), _passed(you), _passed(verb)
+    if verb and (c in (THEM, YOU) or c == SELF):
+        return (modal, you, 0, 0), ("threat",) if strong else ("weak_threat",)
+    if c == SELF or c == LINK:
+        verb = 0
+    if c == MODAL:
+        return (MODAL_REACH + 1, you, 0, 0), ()
+    if c == YOU:
+        return (modal, MODAL_REACH + 1, verb, strong if verb else 0), ()
+    if c in (HARM, HURT) and modal:
+        return (modal, you, OBJECT_REACH + 1, int(c == HARM)), ()
+    if c == DIE and modal and you:
+        return (modal, you, 0, 0), ("weak_threat",)
+    return (modal, you, verb, strong if verb else 0), ()
 
 
-def iter_growing(number: dict) -> Iterator[tuple]:
-    done = 0
-    while done < len(number):
-        yield next(itertools.islice(number, done, None))
-        done += 1
+def negation(state: tuple[int, int], c: int) -> tuple:
+    """Words still covered, and words for which the last insult stays denied to a target behind it."""
+    covered, denied = map(_passed, state)
+    if c == NEGATION:
+        return (NEGATION_REACH + 1, denied), ()
+    if c in (INSULT, STEM):
+        return (covered, AIM_REACH + 1 if covered else 0), ("denied",) if covered else ()
+    return (covered, denied), ("denied",) if denied and c in (YOU, THEM, SELF) else ()
 
 
-def kind_of(insult: int, threat: int, target: int, negation: int, report: int) -> int:
-    threatens = threat == 2 and target
-    if not insult and not threatens:
-        return -1
-    if report:
-        return 4
-    if threatens:
-        return 2
-    if negation == NEGATION_REACH + 1:
-        return 3
-    return 1 if target else 0
+def report(state: int, c: int) -> tuple:
+    return state or int(c == REPORT), ()
+
+
+TRANSDUCERS = (insult, target, threat, negation, report)
+START = (0, (0, 0, 0), (0, 0, 0, 0), (0, 0), 0)
+_EVENT_MARKS = {"insult", "stem", "threat", "weak_threat"}
+
+
+class Composition:
+    """The transducers side by side; arcs are made when they are first walked."""
+
+    def __init__(self) -> None:
+        self.number = {START: 0}
+        self.states = [START]
+        self.arcs: dict[tuple[int, int], tuple[int, tuple[str, ...]]] = {}
+
+    def step(self, state: int, c: int) -> tuple[int, tuple[str, ...]]:
+        found = self.arcs.get((state, c))
+        if found is None:
+            both = [move(s, c) for move, s in zip(TRANSDUCERS, self.states[state], strict=True)]
+            to = tuple(s for s, _ in both)
+            if to not in self.number:
+                self.number[to] = len(self.states)
+                self.states.append(to)
+            marks = tuple(sorted({m for _, out in both for m in out}))
+            found = self.arcs[state, c] = self.number[to], marks if _EVENT_MARKS & set(marks) else ()
+        return found
+
+    def reports(self, state: int) -> bool:
+        return bool(self.states[state][-1])
 
 
 @dataclass
@@ -110,71 +158,78 @@ class Grammar:
     weights: np.ndarray = field(default_factory=lambda: OWN_WEIGHTS.copy())
 
     def __post_init__(self) -> None:
-        self.fixed = {w.encode(): c for c, words in WORDS.items() for w in words.split()} | dict.fromkeys(self.insults, INSULT)
-        self.table, self.kinds = compose()
+        self.fixed = dict.fromkeys(self.insults, INSULT) | {w.encode(): c for c, words in WORDS.items() for w in words.split()}
+        self.composition = Composition()
         self.memo: dict[bytes, int] = {}
 
     def class_of(self, word: bytes) -> int:
-        found = self.fixed.get(word)
+        found = self.memo.get(word)
         if found is None:
-            found = INSULT if any(word[:k] in self.stems for k in STEM_SIZES if len(word) >= k) else OTHER
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        self.memo[word] = found
+            found = self.fixed.get(word)
+            if found is None:
+                found = STEM if any(word[:k] in self.stems for k in STEM_SIZES if len(word) >= k) else OTHER
+            if len(self.memo) > MEMO_WORDS:
+                self.memo.clear()
+            self.memo[word] = found
         return found
 
-    def clauses(self, text: str | None) -> Counter:
-        """Matched clauses of a text by kind."""
+    def events(self, text: str | None) -> list[list[tuple[str, ...]]]:
+        """Of each matched clause, the marks of its events."""
         data = (text or "").encode("utf-8", "replace")
         memo, class_of = self.memo, self.class_of
         classes = {c if (c := memo.get(w)) is not None else class_of(w) for w in data.translate(_TO_WORDS).split()}
-        found: Counter = Counter()
-        if INSULT not in classes and THREAT not in classes:
-            return found
-        state = 0
-        for piece in itertools.chain(_PIECES.findall(data), [b"."]):
+        if not classes & _LEADS:
+            return []
+        out, state, now, step = [], 0, [], self.composition.step
+        for piece in [*_PIECES.findall(data), b"."]:
             if piece in b".!?;\n":
-                if self.kinds[state] >= 0:
-                    found[self.kinds[state]] += 1
-                state = 0
+                if now:
+                    out.append([(*marks, "reported") for marks in now] if self.composition.reports(state) else now)
+                state, now = 0, []
             else:
-                state = self.table[state][self.class_of(piece.lower())]
-        return found
-
-    def features(self, found: Counter) -> list[float]:
-        return [v for k in range(len(KINDS)) for v in (float(found[k] > 0), math.log1p(found[k]))]
-
-    def score(self, found: Counter) -> float:
+                state, marks = step(state, class_of(piece.lower()))
+                if marks:
+                    now.append(marks)
+        return out
+
+    def features(self, found: list[list[tuple[str, ...]]]) -> np.ndarray:
+        """Of the heaviest event of all clauses its marks, with what there is besides."""
+        out = np.zeros(len(MARKS) + 2)
+        if found:
+            weight = dict(zip(MARKS, self.weights.tolist(), strict=False))
+            best = max({event for events in found for event in events}, key=lambda e: (sum([weight[m] for m in e]), e))
+            out[[MARKS.index(m) for m in best]] = 1
+            many = sum(map(len, found))
+            out[-2:] = many > 1, math.log(many)
+        return out
+
+    def score(self, found: list[list[tuple[str, ...]]]) -> float:
         return sigmoid(float(np.dot(self.features(found), self.weights[:-1]) + self.weights[-1]))
 
 
 def learn_words(rows: list[tuple[str, int]]) -> tuple[set[bytes], set[bytes]]:
-    """Words and stems that toxic texts share and clean ones lack.
+    """Words that toxic texts hold and clean ones lack, and stems that they hold twice or more.
 
     The word or stem that explains most toxic texts not yet explained is taken, again and again, so
     words that only come with a copied text add nothing once that text is explained.
     """
-    seen = set()
     toxic: list[set] = []
     clean: Counter = Counter()
     n_clean = 0
-    for text, label in rows:
-        if not text or text in seen:
-            continue
-        seen.add(text)
-        words = set(text.encode("utf-8", "replace").translate(_TO_WORDS).split())
-        marks = {(w, True) for w in words if len(w) > 2} | {(w[:k], False) for w in words for k in STEM_SIZES if len(w) >= k}
-        if label:
+    for text, label in dict.fromkeys(rows):
+        words = (text or "").encode("utf-8", "replace").translate(_TO_WORDS).split()
+        stems = Counter(w[:k] for w in words for k in STEM_SIZES if len(w) >= k)
+        marks = {(w, True) for w in set(words) if len(w) > 2} | {(m, False) for m, c in stems.items() if c > 1}
+        if label and marks:
             toxic.append(marks)
-        else:
+        elif marks:
             clean.update(marks)
             n_clean += 1
     holders = defaultdict(set)
     for k, marks in enumerate(toxic):
         for m in marks:
             holders[m].add(k)
-    limit = lambda m, n: clean[m] / max(n_clean, 1) <= MAX_CLEAN_SHARE * n / len(toxic)
-    holders = {m: h for m, h in holders.items() if len(h) >= MIN_TEXTS and limit(m, len(h))}
+    holders = {m: h for m, h in holders.items() if len(h) >= MIN_TEXTS and clean[m] / max(n_clean, 1) <= MAX_CLEAN_SHARE * len(h) / len(toxic)}
     insults, stems = set(), set()
     left = set(range(len(toxic)))
     while holders and len(insults) + len(stems) < MAX_LEARNT:
@@ -190,32 +245,38 @@ def learn_words(rows: list[tuple[str, int]]) -> tuple[set[bytes], set[bytes]]:
 
 
 def fit(rows: list[tuple[str, int]], sizes: dict[int, int]) -> Grammar:
-    """A grammar with learnt words, and weights drawn from its own towards those that explain the labels."""
+    """A grammar with learnt words, and weights drawn from its own towards those that explain the labels.
+
+    The heaviest events depend on the weights and the weights on the events, so the two take turns.
+    """
     if not any(y for _, y in rows) or all(y for _, y in rows):
         return Grammar()
     # words are learnt on one half and weights on the other, so that chance words get no credit
     insults, stems = learn_words(rows[::2])
     grammar = Grammar(insults, stems)
-    x = np.array([[*grammar.features(grammar.clauses(t)), 1.0] for t, _ in rows[1::2]])
+    found = [grammar.events(t) for t, _ in rows[1::2]]
     y = np.array([label for _, label in rows[1::2]], float)
     count = Counter(y.tolist())
     weight = np.array([sizes[int(v)] / count[v] for v in y])
     weight *= len(weight) / weight.sum()
-    w = OWN_WEIGHTS.copy()
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) + PRIOR_STRENGTH * (w - OWN_WEIGHTS)
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + PRIOR_STRENGTH * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-9:
-            break
+    for _ in range(FIT_ROUNDS):
+        x = np.array([[*grammar.features(f), 1.0] for f in found])
+        w = grammar.weights.copy()
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            g = x.T @ (weight * (p - y)) + PRIOR_STRENGTH * (w - OWN_WEIGHTS)
+            h = (x * (weight * p * (1 - p))[:, None]).T @ x + PRIOR_STRENGTH * np.eye(len(w))
+            step = np.linalg.solve(h, g)
+            w -= step
+            if np.abs(step).max() < 1e-9:
+                break
+        grammar = Grammar(insults, stems, w)
     more_insults, more_stems = learn_words(rows)  # the words of all sampled rows take part in scoring
-    return Grammar(insults | more_insults, stems | more_stems, w)
+    return Grammar(insults | more_insults, stems | more_stems, grammar.weights)
 
 
 def score(docs: DataFrame, grammar: Grammar, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted and the clauses of each kind, for every row. No shuffle."""
+    """doc_id, held_out, score, predicted, the matched clauses and those with each mark, for every row. No shuffle."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     sent = slim.sparkSession.sparkContext.broadcast((grammar.insults, grammar.stems, grammar.weights))
@@ -223,13 +284,13 @@ def score(docs: DataFrame, grammar: Grammar, doc_id: str = "doc_id", text: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Grammar(*sent.value)
         for batch in batches:
-            found = [own.clauses(t.as_py()) for t in batch.column("text")]
-            columns = [batch.column("doc_id"), pa.array([own.score(f) for f in found], pa.float64())]
-            columns += [pa.array([f[k] for f in found], pa.int64()) for k in range(len(KINDS))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", *KINDS])
+            found = [own.events(t.as_py()) for t in batch.column("text")]
+            columns = [batch.column("doc_id"), pa.array([own.score(f) for f in found], pa.float64()), pa.array(map(len, found), pa.int64())]
+            columns += [pa.array([sum(any(m in e for e in events) for events in f) for f in found], pa.int64()) for m in MARKS]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "clauses", *MARKS])
 
-    scored = slim.mapInArrow(run, f"doc_id {kind}, score double, " + ", ".join(f"{k} long" for k in KINDS))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *KINDS)
+    scored = slim.mapInArrow(run, f"doc_id {kind}, score double, clauses long, " + ", ".join(f"{m} long" for m in MARKS))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "clauses", *MARKS)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
