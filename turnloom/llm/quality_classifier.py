@@ -1,11 +1,10 @@
 """Quality classifier by compression: two zstandard dictionaries, from good and from bad labelled text.
 
 A text is cut into chunks; each chunk is compressed with either dictionary. The difference of the
-two total sizes over their sum says which class the text resembles. A logistic curve over it and
-the size with the good dictionary per byte (text that repeats itself is small with either), fitted
-on rows that neither dictionary has seen, turns it into a probability.
+two total sizes over their sum says which class the text resembles. A logistic curve over it,
+fitted on rows that neither dictionary has seen, turns it into a probability.
 
-Null and empty texts have difference and size 0 and get the curve's value there. Texts of any length
+Null and empty texts have difference 0 and get the curve's value there. Texts of any length
 are compressed whole, chunk after chunk. Without labelled rows of both classes every score is the
 share of good rows (0.5 without any). Repeated rows get equal scores; an empty table gives no rows;
 other columns are not read.
@@ -34,27 +33,28 @@ THRESHOLD = 0.5
 class Model:
     good: bytes
     bad: bytes
-    weights: tuple[float, float, float]  # of the difference, of the size per byte, and the intercept
+    slope: float
+    intercept: float
 
     def compressors(self) -> tuple:
         kwargs = {"level": LEVEL, "write_content_size": False, "write_dict_id": False}
         return tuple(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **kwargs) if d else zstandard.ZstdCompressor(**kwargs) for d in (self.good, self.bad))
 
-    def score(self, found: tuple[float, float]) -> float:
-        return sigmoid(self.weights[0] * found[0] + self.weights[1] * found[1] + self.weights[2])
+    def score(self, difference: float) -> float:
+        return sigmoid(self.slope * difference + self.intercept)
 
 
 def chunks(text: bytes) -> list[bytes]:
     return [text[k : k + CHUNK_BYTES] for k in range(0, len(text), CHUNK_BYTES)]
 
 
-def measures(text: bytes, compressors: tuple) -> tuple[float, float]:
-    """100 * (size with the bad dictionary - size with the good one) / their sum; size with the good one per byte."""
+def difference(text: bytes, compressors: tuple) -> float:
+    """100 * (size with the bad dictionary - size with the good one) / their sum."""
     if not text:
-        return 0.0, 0.0
+        return 0.0
     parts = chunks(text)
     good, bad = (sum([len(c.compress(part)) for part in parts]) for c in compressors)
-    return 100 * (bad - good) / (bad + good), good / len(text)
+    return 100 * (bad - good) / (bad + good)
 
 
 def dictionary(texts: list[bytes]) -> bytes:
@@ -74,17 +74,17 @@ def fit(rows: list[tuple[str, int]], sizes: dict[int, int]) -> Model:
     total = sum(sizes.values())
     if not by[0] or not by[1]:
         share = min(max(sizes.get(1, 0) / total, 1e-3), 1 - 1e-3) if total else 0.5
-        return Model(b"", b"", (0.0, 0.0, float(np.log(share / (1 - share)))))
-    model = Model(dictionary(by[1][::2]), dictionary(by[0][::2]), (0.0, 0.0, 0.0))
+        return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
+    model = Model(dictionary(by[1][::2]), dictionary(by[0][::2]), 0.0, 0.0)
     compressors = model.compressors()
     x, y, w = [], [], []
     for label in (0, 1):
         seen = by[label][1::2] or by[label]
-        x += [measures(t, compressors) for t in seen]
+        x += [difference(t, compressors) for t in seen]
         y += [label] * len(seen)
         w += [sizes[label] / len(seen)] * len(seen)
     weight = np.array(w) * len(w) / sum(w)
-    return Model(model.good, model.bad, tuple(logistic(np.array(x), np.array(y), weight, ridge=1e-2).tolist()))
+    return Model(model.good, model.bad, *logistic(np.array(x), np.array(y), weight, ridge=1e-2).tolist())
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -96,9 +96,9 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = sent.value.compressors()
         for batch in batches:
-            found = [measures((t.as_py() or "").encode("utf-8", "replace"), compressors) for t in batch.column("text")]
+            found = [difference((t.as_py() or "").encode("utf-8", "replace"), compressors) for t in batch.column("text")]
             scores = [sent.value.score(d) for d in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([d[0] for d in found], pa.float64())], names=["doc_id", "score", "difference"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(found, pa.float64())], names=["doc_id", "score", "difference"])
 
     scored = slim.mapInArrow(run, f"doc_id {kind}, score double, difference double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "difference")
