@@ -56,7 +56,7 @@ AFTER = [
 ]
 
 
-def labelled_pages(count: int = 600, seed: int = 11) -> list[str]:
+def labelled_pages(count: int = 600, seed: int = 11, main: list[str] = MAIN, before: list[str] = BEFORE, after: list[str] = AFTER) -> list[str]:
     """Pages with their main text marked by the attribute data-main."""
     rng = random.Random(seed)
 
@@ -81,7 +81,7 @@ def labelled_pages(count: int = 600, seed: int = 11) -> list[str]:
 
     pages = []
     for _ in range(count):
-        parts = rng.sample(BEFORE, rng.randint(0, 4)) + [rng.choice(MAIN)] + rng.sample(AFTER, rng.randint(0, 4))
+        parts = rng.sample(before, min(len(before), rng.randint(0, 4))) + [rng.choice(main)] + rng.sample(after, min(len(after), rng.randint(0, 4)))
         body = "".join(map(fill, parts))
         if rng.random() < 0.3:
             body = f'<div class="container">{body}</div>'

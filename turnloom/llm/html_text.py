@@ -28,13 +28,10 @@ from pyspark.sql import functions as F
 from .html_pages import labelled_pages
 from .labelled import logistic
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title)(?=[\s/>])[^>]*+>(?:.*?</\1\s*+>|.*\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*?)>"
-    r"|<[!?/][^>]*+>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_STOP = re.compile("[>\"']")
+#: elements whose content is no markup, and their end tags
+_RAW = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style", "textarea", "title")}
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|data-main)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _PART = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
@@ -62,13 +59,70 @@ class Page:
     linked: list[float]  # share of its characters inside links
 
 
+class Scanner:
+    """Where the tags of a page end. Every part of a page is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.dead: set[int] = set()  # quotes from which no tag end is found
+
+    def end(self, at: int) -> int:
+        """The closing sign of the tag that stands at `at`, -1 if there is none.
+
+        A sign inside a quoted value does not count, unless no other is found.
+        """
+        if at > self.last[">"]:
+            return -1
+        seen, to = [], at
+        while found := _STOP.search(self.page, to):
+            k, sign = found.start(), found[0]
+            if sign == ">":
+                return k
+            if k in self.dead:
+                break
+            seen.append(k)
+            to = self.page.find(sign, k + 1) + 1 if k < self.last[sign] else k + 1
+        self.dead.update(seen)
+        return self.page.find(">", at)
+
+    def tags(self) -> Iterator[tuple[int, int, str | None, bool, str]]:
+        """First and last place (exclusive) of each piece of markup; name, whether it is an end tag, and attributes.
+
+        The name is None for what stands for nothing, and empty for content that is no markup.
+        """
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            name = _NAME.match(page, start + 1) or page.startswith("/", start + 1) and _NAME.match(page, start + 2)
+            if name:
+                stop = self.end(name.end())
+                if stop < 0:
+                    at = start + 1
+                    continue
+                at, word, closes = stop + 1, name[0].lower(), page[start + 1] == "/"
+                if word in _RAW and not closes:
+                    over = _RAW[word].search(page, at)
+                    at, word = over.end() if over else len(page), ""
+                yield start, at, word, closes, page[name.end() : stop]
+                continue
+            if page.startswith("<!--", start):
+                stop = page.find("-->", start + 4)
+                at = stop + 3 if stop >= 0 else len(page)
+            elif page[start + 1 : start + 2] in ("!", "?", "/") and start < self.last[">"]:
+                at = page.find(">", start) + 1
+            else:
+                at = start + 1
+                continue
+            yield start, at, None, False, ""
+
+
 def parse(page: str) -> Page:
     """Block elements and blocks of text, in page order; element 0 is the root."""
     out = Page(["root"], [frozenset()], [-1], [], [], [])
-    stack: list[tuple[str, int]] = [("root", 0)]  # open elements; inline ones carry their block's number
+    stack: list[list] = [["root", 0, 0]]  # open blocks: name, number, links open in them
+    opened: Counter = Counter()  # how many blocks of a name are open
     pieces: list[str] = []
     links = chars = in_link = 0
-    end = len(page)
 
     def flush() -> None:
         nonlocal links, chars
@@ -81,73 +135,62 @@ def parse(page: str) -> Page:
                 out.linked.append(links / max(chars, 1))
         links = chars = 0
 
-    def close(upto: int) -> None:
+    def close() -> str:
         nonlocal in_link
         flush()
-        for name, _ in stack[upto:]:
-            in_link -= name == "a"
-        del stack[upto:]
+        name, _, own = stack.pop()
+        in_link -= own
+        opened[name] -= 1
+        return name
+
+    def add(piece: str) -> None:
+        nonlocal chars, links
+        pieces.append(piece)
+        size = len(piece.strip())
+        chars += size
+        if in_link:
+            links += size
 
     last = 0
-    for found in _TOKEN.finditer(page):
-        start = found.start()
+    for start, stop, name, closes, attributes in Scanner(page).tags():
         if start > last:
-            piece = page[last:start]
-            pieces.append(piece)
-            size = len(piece.strip())
-            chars += size
-            if in_link:
-                links += size
-        last = found.end()
-        name = found[3]
+            add(page[last:start])
+        last = stop
         if name is None:
-            if found[1]:
-                pieces.append(" ")
             continue
-        name = name.lower()
+        if not name:
+            pieces.append(" ")
+            continue
         if name == "head":  # its end tag may be missing; of what it holds only raw text shows, and that is skipped
             flush()
             continue
-        if name in NEEDS_END and not found[2]:
+        if name in NEEDS_END and not closes:
             following = _NEXT[name].search(page, last)
-            if name in ("math", "svg") and found[4].endswith("/") or not (following and following[1]):
+            if name in ("math", "svg") and attributes.endswith("/") or not (following and following[1]):
                 continue
-        if found[2]:  # an end tag closes the nearest open element of its name
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    if name in INLINE:
-                        in_link -= name == "a"
-                        del stack[k]
-                    else:
-                        close(k)
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break
-            else:
-                if name not in INLINE:
-                    flush()
-            continue
         if name in INLINE:
-            if name == "br":
+            if name == "br" and not closes:
                 pieces.append(" ")
-            elif name not in VOID:
-                in_link += name == "a"
-                stack.append((name, stack[-1][1]))
+            elif name == "a" and not closes:
+                in_link += 1
+                stack[-1][2] += 1
+            elif name == "a" and stack[-1][2]:
+                in_link -= 1
+                stack[-1][2] -= 1
             continue
         flush()
-        for k in range(len(stack) - 1, 0, -1):  # what a block's start ends
-            open_name = stack[k][0]
-            if open_name in CLOSED_BY_BLOCK or open_name in SIBLINGS.get(name, ()):
-                close(k)
-                if open_name in SIBLINGS.get(name, ()):
-                    break
-            elif open_name not in INLINE:
+        if closes:  # an end tag closes the nearest open element of its name
+            while opened[name] and close() != name:
+                pass
+            continue
+        while stack[-1][0] in CLOSED_BY_BLOCK or stack[-1][0] in SIBLINGS.get(name, ()):  # what a block's start ends
+            if close() in SIBLINGS.get(name, ()):
                 break
         if name in VOID:
             continue
         marks = set()
-        if found[4] and not found[4].isspace():
-            for a in _ATTRIBUTE.finditer(found[4]):
+        if attributes and not attributes.isspace():
+            for a in _ATTRIBUTE.finditer(attributes):
                 key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
                 if key in ("class", "id", "role"):
                     marks |= {w for w in _PART.findall(value)}
@@ -158,9 +201,10 @@ def parse(page: str) -> Page:
         out.tag.append(name)
         out.marks.append(frozenset(marks))
         out.parent.append(stack[-1][1])
-        stack.append((name, len(out.tag) - 1))
-    if last < end:
-        pieces.append(page[last:])
+        stack.append([name, len(out.tag) - 1, 0])
+        opened[name] += 1
+    if last < len(page):
+        add(page[last:])
     flush()
     return out
 
