@@ -5,12 +5,18 @@ table keyed by blocks of two words says how far the window may move without miss
 the hash of the last block selects the patterns that may end here, and the words themselves are
 compared before an occurrence counts.
 
+The tables are sent to every executor, so they are compiled from at most `PASS_BYTES` of benchmark
+text. Items are cut into parts that overlap by a window less one word, and a benchmark of more text
+takes several passes, one after the other, with the documents and what was found so far in a stored
+table between them. A document keeps its hit words as spans without overlap and each item once.
+
 Null or empty texts have no words and are never hit; repeated rows each get their own result; item
 ids are compared as strings; items with a null id are named "null"; other columns pass unchanged.
 """
 
 from __future__ import annotations
 
+import string
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -18,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import forget, stored
+
 WINDOW = 10
-ITEM_BLOCK_BYTES = 8 << 20  # benchmark text held by one search pass; larger benchmarks take several passes
-_SPANS = "array<struct<first:int,end:int,item:string>>"
+PASS_BYTES = 8 << 20  # benchmark text searched for in one pass over the documents
+PART_WORDS = 50_000  # words of an item that are searched for together
+_SPANS = "array<struct<first:int,end:int>>"
 #: words are runs of bytes other than 00-2F, 3A-60 and 7B-7F once A-Z is in lower case
 _TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if c < 0x30 or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 
@@ -78,70 +87,86 @@ def compile_items(rows: list[tuple[str, str | None]], window: int = WINDOW) -> l
     return list(tables.values())
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list[DataFrame]:
-    """The benchmark in pieces of bounded text, by the hash of its rows; one piece at a time is held by the driver."""
-    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("_id"), F.col(text).alias("_text"))
-    total = rows.agg(F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)))).first()[0] or 0
-    pieces = int(total // ITEM_BLOCK_BYTES) + 1
-    return [rows.filter(F.pmod(F.xxhash64("_id", "_text"), F.lit(pieces)) == k) for k in range(pieces)]
+def _passes(benchmark: DataFrame, item_id: str, text: str, window: int) -> list[DataFrame]:
+    """Parts of the items, dealt over passes of bounded text by their hash."""
+    lowered = F.translate(F.col(text), string.ascii_uppercase, string.ascii_lowercase)
+    words = F.filter(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), words.alias("words")).filter("size(words) > 0")
+    begins = F.explode(F.expr(f"sequence(0, greatest(size(words) - {window}, 0), {PART_WORDS})")).alias("begin")
+    parts = items.select("id", "words", begins).select("id", F.expr(f"array_join(slice(words, begin + 1, {PART_WORDS + window - 1}), ' ')").alias("part"))
+    total = parts.agg(F.sum(F.octet_length("part"))).first()[0] or 0
+    passes = int(total // PASS_BYTES) + 1
+    return [parts.filter(F.pmod(F.xxhash64("id", "part"), F.lit(passes)) == k) for k in range(passes)]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that cover the same words without overlap, in order."""
+    out: list[tuple[int, int]] = []
+    for first, end in sorted(spans):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((first, end))
+    return out
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, into: str = "spans", keep_text: bool = True) -> DataFrame:
-    """Adds `into`: the occurrences of benchmark windows, as word positions [first, end) and item id, and `into`_words.
+    """Adds `into`: the words hit, as positions [first, end) without overlap; `into`_items, the items found, and `into`_words.
 
-    Documents are only read and never shuffled; every further piece of the benchmark is one more
-    pass over the row while it is in a Python worker. Without `keep_text` the text column ends here.
+    Documents are only read and never shuffled. Without `keep_text` the text column ends here.
     """
     spark = docs.sparkSession
-    out = docs.withColumns({into: F.lit(None).cast(_SPANS), f"{into}_words": F.lit(None).cast("long")})
-    pieces = _blocks(benchmark, item_id, item_text)
-    for k, piece in enumerate(pieces):
+    items, words = f"{into}_items", f"{into}_words"
+    out = docs.withColumns({into: F.lit(None).cast(_SPANS), items: F.lit(None).cast("array<string>"), words: F.lit(None).cast("long")})
+    passes = _passes(benchmark, item_id, item_text, window)
+    for k, piece in enumerate(passes):
         tables = spark.sparkContext.broadcast(compile_items([(r[0], r[1]) for r in piece.collect()], window))
-        kept = [c for c in out.columns if keep_text or k < len(pieces) - 1 or c != text]
+        kept = [c for c in out.columns if keep_text or k < len(passes) - 1 or c != text]
 
         def search(batches: Iterator[pa.RecordBatch], tables=tables, kept=kept) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                spans, counts = [], []
-                old = batch.column(into).to_pylist()
-                for value, hits in zip(batch.column(text), old, strict=True):
+                spans, names, counts = [], [], []
+                for value, old, known in zip(batch.column(text), batch.column(into), batch.column(items), strict=True):
                     found = item_words(value.as_py())
-                    hits = hits or []
+                    hits = [(s["first"], s["end"]) for s in old.as_py() or ()]
+                    held = set(known.as_py() or ())
                     for table in tables.value:
-                        for first, items in table.find(found):
-                            hits += [{"first": first, "end": first + table.length, "item": item} for item in items]
-                    spans.append(hits)
+                        for first, owners in table.find(found):
+                            if hits and first <= hits[-1][1] and first >= hits[-1][0]:
+                                hits[-1] = (hits[-1][0], max(hits[-1][1], first + table.length))
+                            else:
+                                hits.append((first, first + table.length))
+                            held.update(owners)
+                    spans.append([{"first": a, "end": b} for a, b in merged(hits)])
+                    names.append(sorted(held))
                     counts.append(len(found))
-                made = {into: pa.array(spans, T_ARROW), f"{into}_words": pa.array(counts, pa.int64())}
+                made = {into: pa.array(spans, _ARROW_SPANS), items: pa.array(names, pa.list_(pa.string())), words: pa.array(counts, pa.int64())}
                 yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in kept], names=kept)
 
-        out = out.mapInArrow(search, out.select(kept).schema)
+        before, out = out, out.mapInArrow(search, out.select(kept).schema)
+        if k < len(passes) - 1:
+            out = stored(out, "window-hits")
+            forget(before)
+            tables.destroy()
     return out
 
 
-T_ARROW = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("item", pa.string())]))
+_ARROW_SPANS = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
 
 def covered(spans: Column) -> Column:
-    """Number of words inside any of the spans: running end over spans in order."""
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["first"].alias("first"), s["end"].alias("end"))))
-    return F.aggregate(
-        ordered,
-        start,
-        lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(s["end"] - F.greatest(acc["end"], s["first"]), F.lit(0))).alias("n")),
-        lambda acc: acc["n"],
-    )
+    """Number of words inside spans without overlap."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document row: word and hit counts, items found, their digest, and whether any window occurs."""
     found = find_windows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark, window=window, keep_text=False)
-    items = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item"])))
     return found.select(
         "doc_id",
         F.col("spans_words").alias("n_words"),
         covered(F.col("spans")).alias("n_hit"),
-        items.alias("items"),
+        F.array_sort("spans_items").alias("items"),
     ).select(
         "doc_id",
         "n_words",
