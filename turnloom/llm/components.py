@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import forget, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
-        now = stored(_small_star(_large_star(now)), "edges")
+        was, now = now, stored(_small_star(_large_star(now)), "edges")
+        forget(was)
         before, mark = mark, _mark(now)
         if before == mark:
             break

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _DEFAULT: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the session names none (tests), a folder of this machine is set."""
+    """The cluster's shared folder; where a session on one machine names none (tests), a folder of its own is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        own = _DEFAULT.setdefault("dir", tempfile.mkdtemp(prefix="turnloom-"))
-        found = "file://" + own
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _DEFAULT:
+            _DEFAULT["dir"] = tempfile.mkdtemp(prefix="turnloom-")
+        found = "file://" + _DEFAULT["dir"]
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -27,7 +32,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/turnloom-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `stored` wrote, once nothing is to be read from them any more."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 BITMAP_WORDS = 1 << 16  # 64 keys' bits each: 2^22 bits, about 1 MB when sent to executors, at every size of input
