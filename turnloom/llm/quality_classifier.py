@@ -1,8 +1,10 @@
 """Quality classifier by compression: two zstandard dictionaries, from good and from bad labelled text.
 
 A text is cut into chunks; each chunk is compressed with either dictionary. The difference of the
-two total sizes over their sum says which class the text resembles. A logistic curve over it,
-fitted on rows that neither dictionary has seen, turns it into a probability.
+two total sizes, normalised by the text's own size, says which class the text resembles; over the
+compressed sizes it would say too much of texts that repeat themselves and are small with either. A
+constant added to the size draws very short texts, which tell little, towards 0. A logistic curve
+over the difference, fitted on rows that neither dictionary has seen, turns it into a probability.
 
 Null and empty texts have difference 0 and get the curve's value there. Texts of any length
 are compressed whole, chunk after chunk. Without labelled rows of both classes every score is the
@@ -25,6 +27,7 @@ from .labelled import held_out, logistic, sample, sigmoid
 
 CHUNK_BYTES = 512
 DICTIONARY_BYTES = 112 << 10
+NORMAL_BYTES = 128  # added to a text's size
 LEVEL = 3
 THRESHOLD = 0.5
 
@@ -49,12 +52,12 @@ def chunks(text: bytes) -> list[bytes]:
 
 
 def difference(text: bytes, compressors: tuple) -> float:
-    """100 * (size with the bad dictionary - size with the good one) / their sum."""
+    """100 * (size with the bad dictionary - size with the good one) / (size + NORMAL_BYTES)."""
     if not text:
         return 0.0
     parts = chunks(text)
     good, bad = (sum([len(c.compress(part)) for part in parts]) for c in compressors)
-    return 100 * (bad - good) / (bad + good)
+    return 100 * (bad - good) / (len(text) + NORMAL_BYTES)
 
 
 def dictionary(texts: list[bytes]) -> bytes:
