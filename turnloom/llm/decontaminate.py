@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import buffers as B
 from .storage import forget, stored
 
 WINDOW = 10
 PASS_BYTES = 8 << 20  # benchmark text searched for in one pass over the documents
+TEXT_BYTES = 1 << 20  # text searched at once in a task; a longer single text is searched alone
 PART_WORDS = 50_000  # words of an item that are searched for together
 _SPANS = "array<struct<first:int,end:int>>"
 #: words are runs of bytes other than 00-2F, 3A-60 and 7B-7F once A-Z is in lower case
@@ -125,23 +127,24 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
 
         def search(batches: Iterator[pa.RecordBatch], tables=tables, kept=kept) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                spans, names, counts = [], [], []
-                for value, old, known in zip(batch.column(text), batch.column(into), batch.column(items), strict=True):
-                    found = item_words(value.as_py())
-                    hits = [(s["first"], s["end"]) for s in old.as_py() or ()]
-                    held = set(known.as_py() or ())
-                    for table in tables.value:
-                        for first, owners in table.find(found):
-                            if hits and first <= hits[-1][1] and first >= hits[-1][0]:
-                                hits[-1] = (hits[-1][0], max(hits[-1][1], first + table.length))
-                            else:
-                                hits.append((first, first + table.length))
-                            held.update(owners)
-                    spans.append([{"first": a, "end": b} for a, b in merged(hits)])
-                    names.append(sorted(held))
-                    counts.append(len(found))
-                made = {into: pa.array(spans, _ARROW_SPANS), items: pa.array(names, pa.list_(pa.string())), words: pa.array(counts, pa.int64())}
-                yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in kept], names=kept)
+                for piece in B.slices(batch, text, TEXT_BYTES):
+                    spans, names, counts = [], [], []
+                    for value, old, known in zip(piece.column(text), piece.column(into), piece.column(items), strict=True):
+                        found = item_words(value.as_py())
+                        hits = [(s["first"], s["end"]) for s in old.as_py() or ()]
+                        held = set(known.as_py() or ())
+                        for table in tables.value:
+                            for first, owners in table.find(found):
+                                if hits and hits[-1][0] <= first <= hits[-1][1]:
+                                    hits[-1] = (hits[-1][0], max(hits[-1][1], first + table.length))
+                                else:
+                                    hits.append((first, first + table.length))
+                                held.update(owners)
+                        spans.append([{"first": a, "end": b} for a, b in merged(hits)])
+                        names.append(sorted(held))
+                        counts.append(len(found))
+                    made = {into: pa.array(spans, _ARROW_SPANS), items: pa.array(names, pa.list_(pa.string())), words: pa.array(counts, pa.int64())}
+                    yield pa.RecordBatch.from_arrays([made[c] if c in made else piece.column(c) for c in kept], names=kept)
 
         before, out = out, out.mapInArrow(search, out.select(kept).schema)
         if k < len(passes) - 1:
