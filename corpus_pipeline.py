@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnloom.llm import stages
 from turnloom.llm.queries import vocabulary
-from turnloom.llm.storage import stored
+from turnloom.llm.storage import forget, stored
 from turnloom.llm.tables import table
 
 
@@ -42,12 +42,13 @@ STAGES = [
     ("bpe", bpe),
 ]
 
-#: SimHash lines, zstandard ratios and tokens have no SQL form; a brute-force version tests the stages
+#: edit distances, zstandard ratios and tokens have no SQL form; tests/llm compares run() with a brute-force version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
