@@ -279,14 +279,18 @@ def test_both_encoders_equal_the_library_on_random_texts():
 
 def test_remembered_pieces_stay_bounded(monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED_BYTES", 3000)
-    encoder, fresh = tokens_file.Encoder(vocabulary()), tokens_file.Encoder(vocabulary())
+    monkeypatch.setattr(tokens_file, "REMEMBERED_BYTES", 3000)
+    encoder, automaton, fresh = tokens_file.Encoder(vocabulary()), bpe.WordBpe(vocabulary()), tokens_file.Encoder(vocabulary())
     rng = random.Random(4)
     for _ in range(60):
         made = [" ".join("".join(rng.choices("abcdef", k=rng.randint(1, 4))) for _ in range(8)) + " " + "x" * 200]
-        fresh.young, fresh.old, fresh.size = {}, {}, 0
-        assert encoder.encode(made) == fresh.encode(made)
-        assert len(encoder.young) + len(encoder.old) < 60
-        assert not any(len(p) > pieces.LONG_PIECE for p in encoder.young)
+        fresh.known = pieces.RememberedPieces(fresh.vocabulary, fresh.word, {})
+        want = fresh.encode(made)
+        assert encoder.encode(made) == want
+        assert automaton.encoder.encode(made) == want
+        for young, old in ((encoder.known, encoder.known.old), (automaton.encoder.young, automaton.encoder.old)):
+            assert len(young) + len(old) < 60
+            assert not any(len(p) > pieces.LONG_PIECE for p in young)
 
 
 def test_elias_fano():

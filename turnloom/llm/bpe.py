@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import buffers as B
 from .pieces import PieceEncoder, Vocabulary
 
-TEXT_BYTES = 2 << 20  # text encoded together in a task; a longer single text is encoded alone
+TEXT_BYTES = 1 << 20  # text encoded together in a task; a longer single text is encoded alone
 
 
 def byte_symbols() -> list[str]:
@@ -177,8 +177,8 @@ class WordBpe:
     def __init__(self, path: str):
         vocabulary = Vocabulary(path)
         self.automaton = TokenAutomaton(vocabulary.ids, vocabulary.merges, vocabulary.end)
-        self.encoder = PieceEncoder(vocabulary, lambda words: self.automaton.walk([w.encode("utf-8", "replace") for w in words]))
         names = {i: t for t, i in (vocabulary.ids | vocabulary.added).items()}
+        self.encoder = PieceEncoder(vocabulary, lambda words: self.automaton.walk([w.encode("utf-8", "replace") for w in words]))
         every = range(max(names, default=0) + 1)
         self.labels = pa.array([names.get(i) for i in every], pa.string())
         self.numbers = pa.array([str(i) for i in every], pa.string())

@@ -18,8 +18,9 @@ import regex
 #: Python counts these as white space, the vocabulary's pattern does not
 _ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SIGNS_TOGETHER = re.compile(r"(?:[^\w\s]|_)(?:[^\w\s]|_)|[\u0300-\u036f]")
+_ASCII_SIGNS_TOGETHER = re.compile(r"[!-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f]{2}")
 ADDED = "<|"  # begins every added token; pieces that hold it stay as they are
-REMEMBERED_BYTES = 32 << 20  # of pieces and ids, in each of two generations
+REMEMBERED_BYTES = 24 << 20  # of pieces and ids, in each of two generations
 ENTRY_BYTES = 200  # what a remembered piece takes beside its characters and ids
 LONG_PIECE = 64  # longer pieces are not remembered
 
@@ -42,7 +43,7 @@ def pieces(text: str | None) -> list[str]:
     text = normal(text)
     if whole:
         return [text]
-    if not _SIGNS_TOGETHER.search(text):
+    if not (_ASCII_SIGNS_TOGETHER if text.isascii() else _SIGNS_TOGETHER).search(text):
         text = text.replace(".", " .").replace(",", " ,")
     return text.split()
 
@@ -53,7 +54,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
+        model = spec.pop("model")
         self.merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.ids = {t: i for t, i in model["vocab"].items() if t not in self.added}
@@ -79,6 +80,7 @@ class PieceEncoder:
 
     def __init__(self, vocabulary: Vocabulary, encode_words: Callable[[list[str]], list[bytes]]):
         self.words, self.encode_words = vocabulary.words, encode_words
+        vocabulary.ids, vocabulary.merges = {}, []  # only needed to make an encoder
         self.added = {i: i.to_bytes(4, "little") for i in vocabulary.added.values()}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -111,3 +113,26 @@ class PieceEncoder:
         for c in passing:
             del self.young[c]
         return out
+
+
+class RememberedPieces(dict):
+    """The ids of pieces, found when they are asked for, by an encoder of one word at a time; `old` is the generation before."""
+
+    def __init__(self, vocabulary: Vocabulary, encode_word: Callable[[str], bytes], old: dict[str, bytes]):
+        super().__init__()
+        self.vocabulary, self.encode_word, self.old = vocabulary, encode_word, old
+        self.size = 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            words = self.vocabulary.words(piece)
+            if words == [piece]:
+                ids = self.encode_word(piece)
+            else:
+                of = self.encode_word if ADDED in piece else self.__getitem__  # words are normal already, and must not become so twice
+                ids = b"".join([of(w) if isinstance(w, str) else w.to_bytes(4, "little") for w in words])
+        if len(piece) <= LONG_PIECE:
+            self[piece] = ids
+            self.size += ENTRY_BYTES + len(piece) + len(ids)
+        return ids
