@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,11 @@ def ngrams(tokens: Column, n: int) -> Column:
     return out
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ngram_hashes(tokens: Column, n: int) -> Column:
     """64-bit hashes of all n-grams of an array of tokens, for counting them."""
     count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
@@ -58,8 +65,8 @@ def ngram_hashes(tokens: Column, n: int) -> Column:
 
 def distinct_n(text: Column, n: int = 2) -> Column:
     """Different n-grams over all n-grams of the normalised tokens; 0.0 with fewer than n tokens."""
-    grams = ngram_hashes(words(normalize_text(text)), n)
-    return F.coalesce(F.try_divide(F.size(F.array_distinct(grams)), F.size(grams)), F.lit(0.0))
+    grams = _let(words(normalize_text(text)), lambda w: ngram_hashes(w, n))
+    return F.coalesce(_let(grams, lambda g: F.try_divide(F.size(F.array_distinct(g)), F.size(g))), F.lit(0.0))
 
 
 def max_ngram_repeat(tokens: Column, n: int) -> Column:
@@ -70,7 +77,8 @@ def max_ngram_repeat(tokens: Column, n: int) -> Column:
         run = F.when(acc["last"].eqNullSafe(h), acc["run"] + 1).otherwise(F.lit(1).cast("bigint"))
         return F.struct(h.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
 
-    return F.aggregate(F.sort_array(ngram_hashes(tokens, n)), start, step, lambda acc: acc["most"])
+    grams = _let(tokens, lambda w: ngram_hashes(w, n))
+    return F.aggregate(F.sort_array(grams), start, step, lambda acc: acc["most"])
 
 
 def marker_count(text: Column) -> Column:
