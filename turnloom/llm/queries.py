@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, line_dedup, ngram_join, quality_classifier, quality_rules, tokens_file, toxicity, warc
+from . import bpe, collocations, decontaminate, fill_in_middle, html_text, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, tokens_file, toxicity, warc
 from .tables import table
 
 
@@ -61,6 +61,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.report(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -72,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_language_id": op13_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op8_warc": warc.ORACLE, "op11_collocations": collocations.ORACLE, "op12_fill_in_middle": fill_in_middle.ORACLE}
