@@ -11,13 +11,13 @@ are (Apriori).
    counted. Then a further pass counts all phrases that may still be frequent: those not counted yet
    whose parts each were counted and are frequent, or were not counted and may be frequent. That
    closes the border: whatever is left out has a part that was counted and is not frequent.
-4. A last pass counts the frequent phrases by their text.
+4. Frequent phrases are spelled by joins: a phrase is counted under the hash of all its words but the
+   last and the hash of the last, and words are counted by their text.
 
-Passes name phrases by 64-bit hashes and test membership in sets of phrases by a filter of
-`FILTER_WORDS * 64` bits, broadcast at this size whatever the corpus. A phrase let through by chance
-is one more that is counted; none is missed. Results come from the counts by text, so a hash shared
-by two phrases can matter only where both occur in one slice of a task (`SLICE_BYTES` of text). Tasks
-sum their counts before they are shuffled.
+Tests of membership in a set of phrases use a filter of `FILTER_WORDS * 64` bits, broadcast at this
+size whatever the corpus. A phrase let through by chance is one more that is counted; none is missed.
+Hashes have 64 bits, so counts are exact unless two frequent phrases, or two words or phrases in one
+task, share one. Tasks sum their counts before they are shuffled.
 
 Null texts are empty, a null language is `und`, ids may be null or repeat. Repeated rows count each
 time. Texts of any length are read whole. Equal scores are ordered by count and phrase. An empty
@@ -28,9 +28,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +45,8 @@ TOP = 2000
 SAMPLE_OF = 8  # one document in so many is in the sample
 LOWERED = 0.4  # the sample's threshold, of what MIN_COUNT comes to there
 FILTER_WORDS = 1 << 20
-SLICE_BYTES = 2 << 20  # text counted at once in a task; a longer single text is counted alone
-TALLY = 1 << 20  # different phrases whose counts a task holds before it hands them on
+SLICE_BYTES = 1 << 20  # text counted at once in a task; a longer single text is counted alone
+TALLY = 1 << 19  # different phrases whose counts a task holds before it hands them on
 SALTS = 64
 UNKNOWN = "und"
 
@@ -52,6 +54,20 @@ _ENDS = bytes([*b".,;:!?", *range(0x0A, 0x0E)])  # where pieces end
 WORDS = B._table(bytes([0x20, 0x09, *_ENDS]))
 ENDS = ~B._table(_ENDS)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: phrases of k words, of which the first k - 1 have the hash p and the last has w. Single words have a name, language and word with a tab between;
+#: k = 0 is a language's number of words
+_COUNTED = "k int, name string, p long, w long, n long"
+FOUND = "k int, h long, p long, w long, lang string, phrase string, n long"
+
+
+def _joined(p: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hash of a phrase from that of all its words but the last, and the last."""
+    return B.mix(p * _STEP + w)
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    data, at = B.texts(words)
+    return B.span_hashes(data, at[:-1], at[1:])
 
 
 def _mask(h: np.ndarray) -> np.ndarray:
@@ -67,9 +83,9 @@ class PhraseFilter:
 
     @classmethod
     def of(cls, hashes: DataFrame) -> PhraseFilter:
-        """From column h; at most FILTER_WORDS rows reach the driver."""
+        """Of rows of FOUND; at most FILTER_WORDS rows reach the driver."""
         bit = lambda k: f"shiftleft(1L, cast(shiftrightunsigned(h, {k}) & 63 as int))"
-        words = hashes.groupBy(F.expr(f"h & {FILTER_WORDS - 1}").alias("word")).agg(F.expr(f"bit_or({bit(20)} | {bit(26)} | {bit(32)})").alias("bits")).toArrow()
+        words = hashes.filter("k > 0").groupBy(F.expr(f"h & {FILTER_WORDS - 1}").alias("word")).agg(F.expr(f"bit_or({bit(20)} | {bit(26)} | {bit(32)})").alias("bits")).toArrow()
         out = np.zeros(FILTER_WORDS, np.uint64)
         out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
         return cls(out)
@@ -94,20 +110,27 @@ class Slice:
         fresh[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
         self.piece = np.cumsum(fresh)
         self.word = B.span_hashes(self.data, start, end)
-        names, at = B.texts(langs)
-        self.hashes = [B.mix(self.word * _STEP + B.span_hashes(names, at[:-1], at[1:])[row])]
+        self.lang = _word_hashes(langs)[row]
+        self.hashes = [_joined(self.lang, self.word)]
 
     def phrases(self, k: int) -> np.ndarray:
         """Hashes of the phrases of k words, by first word. Phrases across pieces are among them."""
         while len(self.hashes) < k:
             last, n = self.hashes[-1], len(self.hashes)
-            self.hashes.append(B.mix(last[:-1] * _STEP + self.word[n:]))
+            self.hashes.append(_joined(last[:-1], self.word[n:]))
         return self.hashes[k - 1]
 
     def within(self, k: int) -> np.ndarray:
         """Which phrases of k words lie in one piece."""
         return self.piece[k - 1 :] == self.piece[: len(self.piece) - k + 1] if len(self.piece) >= k else np.zeros(0, bool)
 
+    def text(self, at: np.ndarray) -> pa.Array:
+        """The words at the given places."""
+        start, size = self.words.start[at], self.words.end[at] - self.words.start[at]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        data = self.data[np.repeat(start - offsets[:-1], size) + np.arange(int(offsets[-1]))]
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+
     def possible(self, k: int, known: PhraseFilter) -> np.ndarray:
         """Phrases of k words whose two shorter phrases are known."""
         there = known.holds(self.phrases(k - 1))
@@ -115,31 +138,43 @@ class Slice:
 
 
 class Tally:
-    """Counts of hashes, merged now and then."""
+    """Counts of phrases of k words by hash, merged now and then, with what else is handed on of each."""
 
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, k: int):
+        self.k = k
+        self.parts: list[tuple[np.ndarray, np.ndarray, list[pa.Array]]] = []
         self.size = 0
 
-    def add(self, hashes: np.ndarray) -> None:
-        if len(hashes):
-            self.parts.append(np.unique(hashes, return_counts=True))
-            self.size += len(self.parts[-1][0])
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+    def add(self, own: Slice, langs: pa.Array, at: np.ndarray) -> None:
+        """The phrases that begin at the given words."""
+        if not len(at):
+            return
+        hashes, first, counts = np.unique(own.phrases(self.k)[at], return_index=True, return_counts=True)
+        at = at[first]
+        if self.k == 1:
+            held = [pc.binary_join_element_wise(langs.take(pa.array(own.words.row[at])), own.text(at), "\t")]
+        else:
+            held = [pa.array(x.view(np.int64)) for x in (own.phrases(self.k - 1)[at], own.word[at + self.k - 1])]
+        self.parts.append((hashes, counts, held))
+        self.size += len(hashes)
+
+    def merge(self) -> None:
         if len(self.parts) > 1:
-            keys, where = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-            self.parts = [(keys, np.bincount(where, weights=np.concatenate([n for _, n in self.parts])).astype(np.int64))]
-        self.size = len(self.parts[0][0]) if self.parts else 0
-        return self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            hashes, first, where = np.unique(np.concatenate([p[0] for p in self.parts]), return_index=True, return_inverse=True)
+            counts = np.bincount(where, weights=np.concatenate([p[1] for p in self.parts])).astype(np.int64)
+            held = [pa.concat_arrays(x).take(pa.array(first)) for x in zip(*(p[2] for p in self.parts))]
+            self.parts = [(hashes, counts, held)]
+        self.size = sum(len(p[0]) for p in self.parts)
 
-    def handed_on(self, k: int, most: int) -> Iterator[pa.RecordBatch]:
+    def handed_on(self, most: int) -> Iterator[pa.RecordBatch]:
         """The counts, where they are of more than `most` hashes."""
         if self.size > most:
-            keys, counts = self.merged()
+            self.merge()
             if self.size > most // 2:
-                self.parts, self.size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["k", "h", "n"])
+                [(hashes, counts, held)], self.parts, self.size = self.parts, [], 0
+                n = len(hashes)
+                named = [held[0], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())] if self.k == 1 else [pa.nulls(n, pa.string()), *held]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, self.k, np.int32)), *named, pa.array(counts)], names=["k", "name", "p", "w", "n"])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, Slice]]:
@@ -148,12 +183,28 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.R
             yield piece, Slice(piece.column("text"), piece.column("lang"))
 
 
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of FOUND from counts: hashes, and language and word of single words."""
+    for batch in batches:
+        k = batch.column("k").to_numpy()
+        names = [("", "", "") if i > 1 else (n, "", "") if i == 0 else n.rpartition("\t") for i, n in zip(k.tolist(), batch.column("name").to_pylist())]
+        lang = pa.array([x[0] for x in names], pa.string())
+        phrase = pa.array([x[2] for x in names], pa.string())
+        single, none = k == 1, k == 0
+        p, w = (pc.fill_null(batch.column(c), 0).to_numpy().view(np.uint64) for c in ("p", "w"))
+        p, w = np.where(single, _word_hashes(lang), p), np.where(single, _word_hashes(phrase), w)
+        h = _joined(p, w)
+        given = [pc.if_else(pa.array(single), phrase, None), *(pa.array(x.view(np.int64)) for x in (h, p, w))]
+        lang = pc.if_else(pa.array(single | none), lang, None)
+        yield pa.RecordBatch.from_arrays([batch.column("k"), *given[1:], lang, given[0], batch.column("n")], names=["k", "h", "p", "w", "lang", "phrase", "n"])
+
+
 def frequent(docs: DataFrame, levels: list[int], known: PhraseFilter | None, found: PhraseFilter | None, least: int, what: str) -> DataFrame:
-    """A stored table (k, h) of the phrases that occur `least` times or more, of those counted now.
+    """A stored table (FOUND) of the phrases that occur `least` times or more, of those counted now.
 
     Without `found`, counted are all words, if level 1 is asked for, and the phrases made possible by
     `known`. With it, those count as done, `found` says which of them are frequent, and counted are
-    all others that may be.
+    all others that may be. With level 1 each language's number of words is a row as well.
     """
     sent = docs.sparkSession.sparkContext.broadcast((known, found))
 
@@ -162,45 +213,44 @@ def frequent(docs: DataFrame, levels: list[int], known: PhraseFilter | None, fou
         may = found.holds(own.phrases(1)) if found else None
         for k in levels:
             if k == 1:
-                yield k, own.phrases(1)
+                yield k, np.arange(len(own.word))
                 continue
             done = own.possible(k, known)
             if found is None:
-                yield k, own.phrases(k)[done]
+                yield k, np.flatnonzero(done)
                 continue
-            hashes = own.phrases(k)
             may = may[:-1] & may[1:] & own.within(k)
-            yield k, hashes[may & ~done]
-            may &= ~done | found.holds(hashes)
+            yield k, np.flatnonzero(may & ~done)
+            may &= ~done | found.holds(own.phrases(k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = {k: Tally() for k in levels}
-        for _, own in _pieces(batches, SLICE_BYTES):
-            for k, hashes in chosen(own):
-                tallies[k].add(hashes)
-                yield from tallies[k].handed_on(k, TALLY)
-        for k, tally in tallies.items():
-            yield from tally.handed_on(k, 0)
+        tallies = {k: Tally(k) for k in levels}
+        totals: dict[str, int] = {}
+        for piece, own in _pieces(batches, SLICE_BYTES):
+            langs = piece.column("lang")
+            for lang, n in zip(langs.to_pylist(), np.diff(own.words.first).tolist()):
+                totals[lang] = totals.get(lang, 0) + n
+            for k, at in chosen(own):
+                tallies[k].add(own, langs, at)
+                yield from tallies[k].handed_on(TALLY)
+        for tally in tallies.values():
+            yield from tally.handed_on(0)
+        if 1 in levels and totals:
+            n = len(totals)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(totals, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(totals.values(), pa.int64())], names=["k", "name", "p", "w", "n"])
 
-    counted = docs.select("text", "lang").mapInArrow(run, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
-    return stored(counted.filter(F.col("n") >= least).select("k", "h"), what)
+    counted = docs.select("text", "lang").mapInArrow(run, _COUNTED).groupBy("k", "name", "p", "w").agg(F.sum("n").alias("n"))
+    return stored(counted.filter((F.col("n") >= least) | (F.col("k") == 0)).mapInArrow(_spelled, FOUND), what)
 
 
-def proposed(docs: DataFrame, min_count: int) -> DataFrame:
-    """(k, h) of the phrases that are frequent in a sample of the documents, told by a hash of their ids."""
+def proposed(docs: DataFrame, min_count: int) -> PhraseFilter:
+    """A filter of the phrases that are frequent in a sample of the documents, told by a hash of their ids."""
     sample = stored(docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SAMPLE_OF)) == 0).select("text", "lang"), "phrase-sample")
     least = max(2, int(min_count / SAMPLE_OF * LOWERED))
-    found = frequent(sample, [1], None, None, least, "phrase-proposals")
-    levels = [found]
-    for k in range(2, LONGEST + 1):
-        if found.isEmpty():
-            break
-        found = frequent(sample, [k], PhraseFilter.of(found), None, least, "phrase-proposals")
-        levels.append(found)
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    out = stored(out, "phrase-proposals")
+    levels = [frequent(sample, [1], None, None, least, "phrase-proposals")]
+    while len(levels) < LONGEST and not levels[-1].filter("k > 0").isEmpty():
+        levels.append(frequent(sample, [len(levels) + 1], PhraseFilter.of(levels[-1]), None, least, "phrase-proposals"))
+    out = PhraseFilter.of(reduce(DataFrame.unionByName, levels))
     forget(sample, *levels)
     return out
 
@@ -214,63 +264,32 @@ def failures(found: DataFrame, known: PhraseFilter) -> DataFrame:
             h = batch.column("h").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(h[~sent.value.holds(h.view(np.uint64))], pa.int64())], names=["h"])
 
-    return found.filter(F.col("k") < LONGEST).select("h").mapInArrow(run, "h long")
+    return found.filter(F.col("k").between(1, LONGEST - 1)).select("h").mapInArrow(run, "h long")
 
 
-def mined(docs: DataFrame, min_count: int) -> PhraseFilter:
-    """A filter of all frequent phrases: sample, full pass, and a pass that closes the border where the sample failed."""
-    start = proposed(docs, min_count)
-    known = PhraseFilter.of(start)
-    forget(start)
+def mined(docs: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
+    """Tables (lang, k, phrase, n) of all frequent phrases with their counts, and (lang, n) of all words of a language.
+
+    Sample, full pass, and a pass that closes the border where the sample failed; then phrases are
+    spelled, each as one frequent phrase and one more frequent word.
+    """
+    known = proposed(docs, min_count)
     found = frequent(docs, list(range(1, LONGEST + 1)), known, None, min_count, "phrases-found")
-    out = PhraseFilter.of(found)
+    tables = [found]
     if not failures(found, known).isEmpty():
-        more = frequent(docs, list(range(2, LONGEST + 1)), known, out, min_count, "phrases-found")
-        out = PhraseFilter.of(found.unionByName(more))
-        forget(more)
-    forget(found)
-    return out
-
-
-def counted(docs: DataFrame, known: PhraseFilter) -> DataFrame:
-    """(lang, k, phrase, n): exact counts of the phrases that the filter holds, and of all words of a language as k = 0 without a phrase."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
-    names = ["lang", "k", "phrase", "n"]
-
-    def handed_on(texts: dict[int, tuple[str, int, str]], tally: Tally) -> pa.RecordBatch:
-        keys, counts = tally.merged()
-        langs, ks, phrases = zip(*(texts[h] for h in keys.tolist())) if len(keys) else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ks, pa.int32()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        texts: dict[int, tuple[str, int, str]] = {}
-        tally = Tally()
-        totals: dict[str, int] = {}
-        for piece, own in _pieces(batches, SLICE_BYTES):
-            start, end, row, first = own.words
-            langs = piece.column("lang").to_pylist()
-            for lang, n in zip(langs, np.diff(first).tolist()):
-                totals[lang] = totals.get(lang, 0) + n
-            data = own.data.tobytes()
-            for k in range(1, LONGEST + 1):
-                hashes = own.phrases(k)
-                at = np.flatnonzero(known.holds(hashes) & own.within(k))
-                some, where = np.unique(hashes[at], return_index=True)
-                tally.add(hashes[at])
-                for h, i in zip(some.tolist(), at[where].tolist()):
-                    if h not in texts:
-                        texts[h] = (langs[row[i]], k, b" ".join(data[a:b] for a, b in zip(start[i : i + k].tolist(), end[i : i + k].tolist())).decode("utf-8", "replace"))
-            if tally.size > TALLY and len(tally.merged()[0]) > TALLY // 4:
-                yield handed_on(texts, tally)
-                texts, tally = {}, Tally()
-            elif len(tally.parts) > 200:
-                tally.merged()
-        yield handed_on(texts, tally)
-        yield pa.RecordBatch.from_arrays([pa.array(totals, pa.string()), pa.array([0] * len(totals), pa.int32()), pa.nulls(len(totals), pa.string()), pa.array(totals.values(), pa.int64())], names=names)
-
-    rows = docs.select("text", "lang").mapInArrow(run, "lang string, k int, phrase string, n long")
-    return rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+        tables.append(frequent(docs, list(range(2, LONGEST + 1)), known, PhraseFilter.of(found), min_count, "phrases-found"))
+    every = reduce(DataFrame.unionByName, tables)
+    words = found.filter("k = 1")
+    last = words.select("lang", "w", F.col("phrase").alias("last"))
+    levels = [words.select("lang", "k", "h", "phrase", "n")]
+    for k in range(2, LONGEST + 1):
+        begun = levels[-1].select("lang", F.col("h").alias("p"), F.col("phrase").alias("begun"))
+        own = every.filter(F.col("k") == k).select("k", "h", "p", "w", "n").join(begun, "p").join(last, ["lang", "w"])
+        levels.append(stored(own.select("lang", "k", "h", F.concat_ws(" ", "begun", "last").alias("phrase"), "n"), "phrases-spelled"))
+    counts = stored(reduce(DataFrame.unionByName, levels).drop("h"), "phrase-counts")
+    totals = stored(found.filter("k = 0").select("lang", "n").coalesce(1), "phrase-totals")  # a row for each language
+    forget(*tables, *levels[1:])
+    return counts, totals
 
 
 def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:
@@ -301,8 +320,7 @@ def maximal(counts: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first phrases."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    counts = stored(counted(slim, mined(slim, min_count)).filter((F.col("k") == 0) | (F.col("n") >= min_count)), "phrase-counts")
-    totals = stored(counts.filter("k = 0").select("lang", "n").coalesce(1), "phrase-totals")  # a row for each language
+    counts, totals = mined(slim, min_count)
     kept = scored(counts, totals).join(maximal(counts), ["lang", "phrase"], "left").filter("longer is null or longer < a")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # the first of each of many parts of a language, then the first of those: no language is sorted in one task
