@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from .folders import files_of, folder_listing, glob_pattern
 
 TURN = "mp3url string, speaker array<string>, turnText string"
 RECORD = "image array<string>, video array<string>, conversations array<struct<`from`:string,value:string>>"
@@ -22,9 +23,14 @@ TRANSCRIPT_FILE = r"([^/]+)/transcript_([^/.]+)\.txt$"
 
 
 def read_turns(spark: SparkSession, path: str) -> DataFrame:
-    """Turns of JSON lines (also gzipped, one task a file, so dealt anew); broken lines go. turn_idx is the line's place in the read order."""
+    """Turns of JSON lines (also gzipped, one task a file, so dealt anew); broken lines go.
+
+    turn_idx orders turns as their files do: path, first byte of the part of the file that a task
+    reads, and place in it. Rows of a part are read in order and by one task, so the place only has to grow.
+    """
     rows = spark.read.schema(TURN).option("mode", "DROPMALFORMED").json(path)
-    return rows.select(F.col("mp3url").alias("episode_url"), F.monotonically_increasing_id().alias("turn_idx"), "speaker", F.col("turnText").alias("text")).filter("episode_url is not null and text is not null")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("place"))
+    return rows.select(F.col("mp3url").alias("episode_url"), place.alias("turn_idx"), "speaker", F.col("turnText").alias("text")).filter("episode_url is not null and text is not null")
 
 
 def read_annotations(spark: SparkSession, path: str, lines: bool) -> DataFrame:
@@ -57,10 +63,13 @@ def load_transcripts(spark: SparkSession, path: str, names: str = TRANSCRIPT_FIL
     return files.filter(model != "").select(sample.alias("sample"), model.alias("model"), T.strip_header(F.col("value")).alias("content"), T.header_value(F.col("value"), "Word count").try_cast("bigint").alias("stated"))
 
 
-def image_inventory(spark: SparkSession, path: str, source: str, names: str = "*.{png,jpg}") -> DataFrame:
-    """(source, filename, size, path) of the image files under a path; file contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path)
-    return found.select(F.lit(source).alias("source"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"), "path")
+def image_inventory(spark: SparkSession, path: str, source: str, names: str = "*.{png,jpg}", previous: DataFrame | None = None) -> DataFrame:
+    """(source, filename, size, path) of the image files below a folder; file contents are not read.
+
+    Tasks list the folders; `previous` is a folder_listing of an earlier time, whose unchanged folders are not listed again.
+    """
+    found = files_of(folder_listing(spark, path, previous)).filter(F.col("filename").rlike(glob_pattern(names)))
+    return found.select(F.lit(source).alias("source"), "filename", "size", "path")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
