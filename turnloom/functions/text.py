@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ IMAGE_TOKENS = 1792
 
 _EDGES = r"(?U)^\s+|\s+$"
 _MARKER_PATTERN = r"\[(?:inaudible|sigh|music|laughter)\]"
-_HEADER_PATTERN = r"^(?:Sample:|Word count:|Generation time:|===)"
+_HEADER_PATTERN = r"^(?:Sample:|Word count:|Generation time:|===)"  # with (?dm): at the start of any line
 
 
 def strip(text: Column) -> Column:
@@ -38,49 +36,6 @@ def normalize_text(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All n-grams of an array of tokens, joined by a space; none where there are fewer tokens.
-
-    Shifted slices are zipped, so the tokens are not computed anew for each of them.
-    """
-    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
-    out = F.slice(tokens, F.lit(1), count)
-    for k in range(1, n):
-        out = F.zip_with(out, F.slice(tokens, F.lit(k + 1), count), lambda a, b: F.concat(a, F.lit(" "), b))
-    return out
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is computed once, however often it is named."""
-    return F.transform(F.array(value), use)[0]
-
-
-def ngram_hashes(tokens: Column, n: int) -> Column:
-    """64-bit hashes of all n-grams of an array of tokens, for counting them."""
-    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
-    if n == 2:
-        return F.zip_with(F.slice(tokens, F.lit(1), count), F.slice(tokens, F.lit(2), count), lambda a, b: F.xxhash64(a, b))
-    return F.transform(ngrams(tokens, n), lambda g: F.xxhash64(g))
-
-
-def distinct_n(text: Column, n: int = 2) -> Column:
-    """Different n-grams over all n-grams of the normalised tokens; 0.0 with fewer than n tokens."""
-    grams = _let(words(normalize_text(text)), lambda w: ngram_hashes(w, n))
-    return F.coalesce(_let(grams, lambda g: F.try_divide(F.size(F.array_distinct(g)), F.size(g))), F.lit(0.0))
-
-
-def max_ngram_repeat(tokens: Column, n: int) -> Column:
-    """How often the commonest n-gram of an array of tokens occurs: the longest run of its sorted hashes."""
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("most"))
-
-    def step(acc: Column, h: Column) -> Column:
-        run = F.when(acc["last"].eqNullSafe(h), acc["run"] + 1).otherwise(F.lit(1).cast("bigint"))
-        return F.struct(h.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
-
-    grams = _let(tokens, lambda w: ngram_hashes(w, n))
-    return F.aggregate(F.sort_array(grams), start, step, lambda acc: acc["most"])
-
-
 def marker_count(text: Column) -> Column:
     """Stage-direction markers in any case."""
     return F.regexp_count(F.lower(text), F.lit(_MARKER_PATTERN)).cast("bigint")
@@ -106,21 +61,15 @@ def strip_code_fence(reply: Column) -> Column:
     return F.when(F.startswith(text, F.lit("```")), inner).otherwise(text)
 
 
-def is_header(line: Column) -> Column:
-    return line.rlike(_HEADER_PATTERN)
-
-
 def strip_header(content: Column) -> Column:
     """The dialogue of a generated transcript.
 
     Header lines are dropped wherever they stand, and so are lines before the first of them. Where
     that leaves nothing, the whole content stays.
     """
-    lines = F.split(content, "\n")
-    first = F.array_position(F.transform(lines, lambda line: is_header(line)), True)
-    kept = F.filter(F.slice(lines, F.greatest(first, F.lit(1)).cast("int"), F.size(lines)), lambda line: ~is_header(line))
-    body = strip(F.array_join(kept, "\n"))
-    return F.when((first > 0) & (body != ""), body).otherwise(strip(content))
+    begun = F.regexp_replace(content, rf"(?dms)\A.*?(?={_HEADER_PATTERN})", "")
+    body = strip(F.regexp_replace(begun, rf"(?dm){_HEADER_PATTERN}[^\n]*\n?", ""))
+    return F.when(content.rlike(f"(?dm){_HEADER_PATTERN}") & (body != ""), body).otherwise(strip(content))
 
 
 def header_value(content: Column, field: str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .skew import HEAVY, salted_join
 
 LETTERS = [chr(c) for c in range(ord("A"), ord("Z") + 1)]
 # Texts that answers and prompts are matched with or built from.
@@ -92,14 +93,17 @@ def attach_ground_truth(predictions: DataFrame, items: DataFrame) -> DataFrame:
     return joined.withColumn("gt", F.when(F.col("_known"), F.col("gt")).otherwise(unknown)).drop("_known")
 
 
-def resolve_image_refs(items: DataFrame) -> DataFrame:
+def resolve_image_refs(items: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """Adds resolved and problem: an image value of 64 characters or fewer is the index of the row that holds the image, which must be longer.
 
-    Only references are joined; rows that hold their image stay where they are.
+    Only references are joined; rows that hold their image stay where they are, and of the images only
+    those that some row refers to are moved. References to one row by very many are dealt over several tasks.
     """
     refers = F.coalesce(F.length("image") <= 64, F.lit(False))
+    references = items.filter(refers).withColumn("_ref", F.col("image"))
     holders = items.filter(F.length("image") > 64).select(F.col("index").cast("string").alias("_ref"), F.col("image").alias("resolved"))
-    found = items.filter(refers).join(holders, F.col("image") == F.col("_ref"), "left").drop("_ref")
+    counts = references.groupBy("_ref").agg(F.count("*").alias("n"))
+    found = salted_join(references, holders, "_ref", counts, "index", "left", heavy).drop("_ref")
     found = found.withColumn("problem", F.when(F.col("resolved").isNull(), "unresolved_image"))
     own = items.filter(~refers).withColumns({"resolved": F.col("image"), "problem": F.lit(None).cast("string")})
     return found.unionByName(own)

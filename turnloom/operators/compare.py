@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from .turns import turn_counts, turn_measures
+from ..functions.measures import transcript_measures
+from .turns import turn_measures
 
 METRICS = ["words", "distinct2", "avg_turn_length", "switch_rate", "num_turns"]
 #: how each metric's average is shown
@@ -16,10 +21,10 @@ MAX_IMAGES = 5
 
 def transcript_metrics(transcripts: DataFrame) -> DataFrame:
     """(sample, model, the five metrics) of transcripts whose header is stripped already; a missing one has a null distinct2. No shuffle."""
-    text = F.col("content")
-    own = [T.word_count(text).alias("words"), F.when(text.isNotNull() & (text != ""), T.distinct_n(text, 2)).alias("distinct2")]
-    counted = transcripts.select("sample", "model", *own, turn_counts(text).alias("_turns"))
-    return counted.select("sample", "model", "words", "distinct2", *turn_measures(F.col("_turns"))).withColumnRenamed("n_turns", "num_turns").select("sample", "model", *METRICS)
+    text, m = F.col("content"), F.col("_m")
+    measured = transcripts.select("sample", "model", (text.isNotNull() & (text != "")).alias("_some"), transcript_measures(text).alias("_m"))
+    shown = measured.select("sample", "model", m["words"].alias("words"), F.when(F.col("_some"), m["distinct2"]).alias("distinct2"), *turn_measures(m["turns"], m["turn_words"]))
+    return shown.withColumnRenamed("n_turns", "num_turns").select("sample", "model", *METRICS)
 
 
 def compare_models(long: DataFrame, models: list[str]) -> DataFrame:
@@ -47,17 +52,48 @@ def comparison_summary(wide: DataFrame, a: str, b: str) -> DataFrame:
     return long.select("metric", shown(F.col("x")).alias("mean_a"), shown(F.col("y")).alias("mean_b"), shown(F.col("x") - F.col("y"), "+").alias("difference"), verdict.alias("verdict"), "unparsed_a", "unparsed_b")
 
 
+def cosines(t: pa.ListArray, i: pa.ListArray) -> pa.Array:
+    """Cosine of each pair of vectors; null where one is missing, empty, of length 0, of another size, or holds a null.
+
+    Pairs of one size are two matrices, whose dots and norms are taken at once.
+    """
+    size = [pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False) for x in (t, i)]
+    flat, begin, whole = [], [], (size[0] == size[1]) & (size[0] > 0)
+    for x in (t, i):
+        offsets = x.offsets.to_numpy().astype(np.int64)
+        values = x.values
+        lost = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+        whole &= lost[offsets[1:]] == lost[offsets[:-1]]
+        flat.append(pc.fill_null(values, 0).to_numpy(zero_copy_only=False).astype(np.float64))
+        begin.append(offsets[:-1])
+    out = np.full(len(size[0]), np.nan)
+    known = np.zeros(len(out), bool)
+    for d in np.unique(size[0][whole]):
+        rows = np.flatnonzero(whole & (size[0] == d))
+        a, b = (v[at[rows][:, None] + np.arange(d)] for v, at in zip(flat, begin))
+        norm = np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))
+        fine = norm != 0
+        out[rows[fine]] = np.einsum("ij,ij->i", a[fine], b[fine]) / norm[fine]
+        known[rows[fine]] = True
+    return pa.array(out, pa.float64(), mask=~known, from_pandas=False)
+
+
 def alignment_score(texts: DataFrame, images: DataFrame) -> DataFrame:
     """Mean of 100 * cosine, 0 at least, of a sample's text and its first five images; null without either.
 
-    `texts` (sample_id, vector), `images` (sample_id, image_no, vector).
+    `texts` (sample_id, vector), `images` (sample_id, image_no, vector). A sample's images beyond the
+    first five end in the tasks that read them.
     """
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     first = images.withColumn("_n", F.row_number().over(Window.partitionBy("sample_id").orderBy("image_no"))).filter(F.col("_n") <= MAX_IMAGES)
     both = texts.select("sample_id", F.col("vector").alias("t")).join(first.select("sample_id", F.col("vector").alias("i")), "sample_id", "full")
-    norm = F.sqrt(dot(F.col("t"), F.col("t"))) * F.sqrt(dot(F.col("i"), F.col("i")))
-    score = F.greatest(F.lit(0.0), F.lit(100.0) * dot(F.col("t"), F.col("i")) / F.when(norm > 0, norm))
-    return both.select("sample_id", F.when(F.col("t").isNotNull() & F.col("i").isNotNull() & (norm > 0), score).alias("score")).groupBy("sample_id").agg(F.avg("score").alias("score"), F.count("score").alias("n_images"))
+    kind = both.schema["sample_id"].dataType.simpleString()
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pc.max_element_wise(pc.multiply(cosines(batch.column("t"), batch.column("i")), 100.0), 0.0, skip_nulls=False)
+            yield pa.RecordBatch.from_arrays([batch.column("sample_id"), found], names=["sample_id", "score"])
+
+    return both.mapInArrow(scored, f"sample_id {kind}, score double").groupBy("sample_id").agg(F.avg("score").alias("score"), F.count("score").alias("n_images"))
 
 
 def timing_stats(results: DataFrame) -> DataFrame:

@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.measures import max_ngram_repeat
 from .index import dense_index, running_total
 from .turns import TRANSCRIPT_MAX_CHARS
 
 # Limits of transcripts and excerpts.
 TRANSCRIPT_CHARS = (2000, TRANSCRIPT_MAX_CHARS)
 EXCERPT_WORDS = (400, 900)
+TRIGRAM = 3
 MAX_TRIGRAM = 5
 MAX_MARKERS = 2
 TRIGRAM_MIN_WORDS = 50
 SCENES = 5
 SCENE_FILE = "ep%d_ex%d_scene%d.png"
+FIRST_RANGE = 4096  # indexes looked at first for a target
 REPLY = "visualizable boolean, reason string, excerpts array<struct<excerpt:string,word_count:bigint,scenes:array<string>>>, _corrupt_record string"
 
 
@@ -54,7 +57,7 @@ def validate_excerpts(excerpts: DataFrame) -> DataFrame:
     Trigrams are counted in the row, and only of excerpts of a length that passes. No shuffle.
     """
     within = F.col("word_count").between(*EXCERPT_WORDS)
-    counted = excerpts.withColumns({"_repeat": F.when(within, max_trigram_repeat(F.col("excerpt"))), "_markers": F.when(within, T.marker_count(F.col("excerpt")))})
+    counted = excerpts.withColumns({"_repeat": max_trigram_repeat(F.when(within, F.col("excerpt"))), "_markers": F.when(within, T.marker_count(F.col("excerpt")))})
     reason = (
         F.when(F.col("word_count") > EXCERPT_WORDS[1], "too_long")
         .when(F.col("word_count") < EXCERPT_WORDS[0], "too_short")
@@ -66,7 +69,7 @@ def validate_excerpts(excerpts: DataFrame) -> DataFrame:
 
 def max_trigram_repeat(text: Column) -> Column:
     """How often the commonest trigram of raw tokens occurs; null in texts of fewer than TRIGRAM_MIN_WORDS words."""
-    return F.when(T.word_count(text) >= TRIGRAM_MIN_WORDS, T.max_ngram_repeat(T.words(text), 3))
+    return F.when(T.word_count(text) >= TRIGRAM_MIN_WORDS, max_ngram_repeat(text, TRIGRAM))
 
 
 def explode_excerpts(parsed: DataFrame) -> DataFrame:
@@ -119,10 +122,21 @@ def extraction_summary(status: DataFrame, rejected: DataFrame) -> DataFrame:
     return both.withColumns({"scenes": F.col("excerpts") * SCENES, "visual_rate": F.when(seen > 0, F.col("success") / seen), "excerpts_per_episode": F.when(F.col("success") > 0, F.col("excerpts") / F.col("success"))})
 
 
-def take_until_target(status: DataFrame, target: int, existing: int = 0) -> DataFrame:
-    """Episodes in index order up to the one whose excerpts reach the target, `existing` ones counted first."""
-    total = running_total(status, ["episode_idx"], "num_excerpts")
-    return total.filter(F.lit(existing) + F.col("running") - F.col("num_excerpts") < target)
+def take_until_target(status: DataFrame, target: int, existing: int = 0, first_range: int = FIRST_RANGE) -> DataFrame:
+    """Episodes in index order up to the one whose excerpts reach the target, `existing` ones counted first.
+
+    Ranges of indexes, each twice as long as the one before, are summed until the target is met, and
+    later rows are not read: each range is a filter that the source may push down. Rows without an index go.
+    """
+    index = F.col("episode_idx")
+    span = status.agg(F.min(index), F.max(index)).first()
+    begin, end, size, total = span[0] or 0, span[1], first_range, existing
+    upto = begin
+    while total < target and end is not None and upto <= end:
+        total += status.filter((index >= upto) & (index < upto + size)).agg(F.sum("num_excerpts")).first()[0] or 0
+        upto, size = upto + size, 2 * size
+    summed = running_total(status.filter((index >= begin) & (index < upto)), ["episode_idx"], "num_excerpts")
+    return summed.filter(F.lit(existing) + F.col("running") - F.col("num_excerpts") < target)
 
 
 def batches(df: DataFrame, size: int, start: int = 0, index: str = "episode_idx") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import HEAVY, salted_join
+
 HISTOGRAM_TOP = 6
 
 
@@ -49,11 +51,16 @@ def failed_files(results: DataFrame) -> DataFrame:
     return results.filter("status = 'failed'").select("filename")
 
 
-def missing_media(records: DataFrame, inventory: DataFrame) -> DataFrame:
-    """(record_id, missing): paths of a record's media that are not in the inventory. Paths are made distinct before the join."""
+def missing_media(records: DataFrame, inventory: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """(record_id, missing): paths of a record's media that are not in the inventory.
+
+    Paths are counted before they are looked up. Only uses of absent paths are moved to their
+    records' lists, and those of a path that very many records use are dealt over several tasks.
+    """
     used = records.select("record_id", F.explode(F.concat("image", "video")).alias("path"))
-    absent = used.select("path").distinct().join(inventory.select("path").distinct(), "path", "left_anti")
-    return used.join(absent, "path").groupBy("record_id").agg(F.array_sort(F.collect_list("path")).alias("missing"))
+    absent = used.filter("path is not null").groupBy("path").agg(F.count("*").alias("n")).join(inventory.select("path").distinct(), "path", "left_anti")
+    lost = salted_join(used, absent.select("path"), "path", absent, "record_id", heavy=heavy)
+    return lost.groupBy("record_id").agg(F.array_sort(F.collect_list("path")).alias("missing"))
 
 
 def resolve_paths(rows: DataFrame, listing: DataFrame, roots: list[str]) -> DataFrame:

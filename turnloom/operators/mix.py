@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .index import dense_index
+#: of a hash's hexadecimal digits, those that a histogram tells apart at once, and the rows that are small enough to be chosen from one by one
+PREFIX_DIGITS = 4
+HASH_DIGITS = 32
+EDGE_ROWS = 10_000
 
 
 def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
@@ -29,12 +32,49 @@ def seeded(seed: int, *key: str) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *(F.col(k).cast("string") for k in key)))
 
 
+def _edge(order: DataFrame, percent: float) -> tuple[str, int, int] | None:
+    """The largest hash (column h) that is kept, how many rows with it are, and how many there are; None if no row is kept.
+
+    A histogram of the first digits tells in which bucket the edge lies; histograms of further digits
+    go into it until its rows are few. A histogram has at most 16 ** PREFIX_DIGITS rows.
+    """
+    prefix, wanted = "", None
+    while True:
+        inside = order.filter(F.startswith("h", F.lit(prefix)))
+        counts = inside.groupBy(F.substring("h", 1, len(prefix) + PREFIX_DIGITS).alias("p")).count().collect()
+        if wanted is None:
+            wanted = int(sum(r["count"] for r in counts) * percent / 100.0)
+            if wanted <= 0:
+                return None
+        for r in sorted(counts, key=lambda r: r["p"]):
+            if wanted <= r["count"]:
+                break
+            wanted -= r["count"]
+        prefix = r["p"]
+        if len(prefix) >= HASH_DIGITS:
+            return prefix, wanted, r["count"]
+        if r["count"] <= EDGE_ROWS:
+            rows = sorted(x["h"] for x in order.filter(F.startswith("h", F.lit(prefix))).collect())
+            last = rows[wanted - 1]
+            return last, wanted - sum(x < last for x in rows), rows.count(last)
+
+
 def exact_sample(df: DataFrame, percent: float, seed: int, key: str) -> DataFrame:
-    """Exactly int(n * percent / 100) rows without replacement, the first in the order of a seeded hash. The product is a float and is cut, as the training code does."""
+    """Exactly int(n * percent / 100) rows without replacement, the first in the order of a seeded hash. The product is a float and is cut, as the training code does.
+
+    The hash at the edge is found from histograms, and then rows are filtered: none is sorted or moved.
+    Only where rows share the key at the edge, and not all of them are kept, are those limited.
+    """
     if percent >= 100:
         return df
-    count = int(df.count() * percent / 100.0)
-    return dense_index(df.withColumn("_order", seeded(seed, key)), ["_order", key], "_position").filter(F.col("_position") < count).drop("_order", "_position")
+    own = seeded(seed, key)
+    edge = _edge(df.select(own.alias("h")), percent)
+    if edge is None:
+        return df.filter(F.lit(False))
+    last, kept, there = edge
+    if kept == there:
+        return df.filter(own <= last)
+    return df.filter(own < last).unionByName(df.filter(own == last).limit(kept))
 
 
 def mix_datasets(spec: str, registry: dict[str, DataFrame], seed: int, key: str) -> DataFrame:

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.measures import LABEL, turn_counts
 from .index import dense_index
 
-# What a turn and an episode must have, and what a speaker label looks like.
+# What a turn and an episode must have.
 LOADED_MIN_CHARS = 10
 TURN_MIN_CHARS = 10
 MUSIC = "[Music]"
 MIN_TURNS = 5
 TRANSCRIPT_MAX_CHARS = 50_000
-LABEL = r"^(?:\[?)(Speaker\s*\d+|Host|Guest|Co-host|[A-Z][a-z]+)(?:\]?):\s*"
 
 
 def loaded_turns(turns: DataFrame) -> DataFrame:
@@ -34,27 +34,43 @@ def episodes(turns: DataFrame, min_turns: int = MIN_TURNS) -> DataFrame:
     return dense_index(counted, ["episode_url"], "episode_idx")
 
 
-def relabel_speakers(turns: DataFrame) -> DataFrame:
-    """Adds speaker_no: speakers numbered by their first appearance among the given turns."""
-    first = F.min("turn_idx").over(Window.partitionBy("episode_url", "_speaker"))
+def _speaking(turns: DataFrame) -> DataFrame:
+    """Turns of an episode, with the name of their first speaker."""
+    return turns.filter("episode_url is not null").withColumn("_speaker", F.coalesce(F.get("speaker", F.lit(0)), F.lit("")))
+
+
+def _numbered(named: DataFrame, *measures: Column) -> DataFrame:
+    """A row per episode and speaker: the measures, and speaker_no by first appearance. First appearances merge before they are moved, and no text is."""
+    first = named.groupBy("episode_url", "_speaker").agg(F.min("turn_idx").alias("_first"), *measures)
     number = F.dense_rank().over(Window.partitionBy("episode_url").orderBy("_first"))
-    named = turns.withColumn("_speaker", F.coalesce(F.get("speaker", F.lit(0)), F.lit("")))
-    return named.withColumn("_first", first).withColumn("speaker_no", number.cast("bigint")).drop("_speaker", "_first")
+    return first.withColumn("speaker_no", number.cast("bigint")).drop("_first")
+
+
+def relabel_speakers(turns: DataFrame) -> DataFrame:
+    """Adds speaker_no: speakers numbered by their first appearance among the given turns. Turns without an episode go."""
+    named = _speaking(turns)
+    return named.join(_numbered(named), ["episode_url", "_speaker"]).select(*turns.columns, "speaker_no")
 
 
 def assemble_transcripts(turns: DataFrame, most_chars: int = TRANSCRIPT_MAX_CHARS) -> DataFrame:
     """One row per episode: transcript, n_speakers, n_chars.
 
-    The length is summed before lines are gathered, and episodes of more than `most_chars` characters
-    get a null transcript, so no row grows without bound.
+    Lengths and speakers are summed without the texts, which are moved once, to their episode, where
+    their speakers' numbers are. Episodes of more than `most_chars` characters get a null transcript and
+    no list of speakers, so no row grows without bound. Turns without an episode go.
     """
-    lines = relabel_speakers(turns).withColumn("line", F.concat(F.lit("Speaker "), F.col("speaker_no").cast("string"), F.lit(": "), F.col("text")))
-    size = F.sum(F.length("line") + 2).over(Window.partitionBy("episode_url")) - 2
-    lines = lines.withColumn("line", F.when(size <= most_chars, F.col("line")))
-    gathered = F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("turn_idx", "line"))))
-    joined = lines.groupBy("episode_url").agg(gathered.alias("lines"), F.countDistinct("speaker_no").alias("n_speakers"), (F.sum(F.length("text") + F.length(F.col("speaker_no").cast("string")) + 12) - 2).alias("n_chars"))
+    named = _speaking(turns)
+    speakers = _numbered(named, F.sum(F.length("text")).alias("_chars"), F.count("text").alias("_turns"))
+    own = F.col("_chars") + F.col("_turns") * (F.length(F.col("speaker_no").cast("string")) + 12)
+    sized = speakers.withColumn("n_chars", (F.sum(own).over(Window.partitionBy("episode_url")) - 2).cast("bigint"))
+    names = F.collect_list(F.when(F.col("n_chars") <= most_chars, F.struct("_speaker", "speaker_no")))
+    episodes = sized.groupBy("episode_url").agg(F.max("n_chars").alias("n_chars"), F.countDistinct("speaker_no").alias("n_speakers"), F.map_from_entries(names).alias("_numbers"))
+    told = named.select("episode_url", "turn_idx", "_speaker", "text").join(episodes, "episode_url")
+    number = F.element_at("_numbers", F.col("_speaker")).cast("string")
+    line = F.when((F.col("n_chars") <= most_chars) & F.col("text").isNotNull(), F.struct("turn_idx", F.concat(F.lit("Speaker "), number, F.lit(": "), F.col("text")).alias("line")))
+    gathered = told.groupBy("episode_url").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.first("n_speakers").alias("n_speakers"), F.first("n_chars").alias("n_chars"))
     text = F.when(F.size("lines") > 0, F.array_join(F.transform("lines", lambda s: s["line"]), "\n\n"))
-    return joined.select("episode_url", text.alias("transcript"), "n_speakers", F.col("n_chars").cast("bigint").alias("n_chars"))
+    return gathered.select("episode_url", text.alias("transcript"), "n_speakers", "n_chars")
 
 
 def unprocessed(episodes: DataFrame, done: DataFrame, key: str = "episode_idx") -> DataFrame:
@@ -81,29 +97,8 @@ def parse_turns(transcripts: DataFrame) -> DataFrame:
     return turns.select("sample", "model", order.cast("bigint").alias("turn_no"), "speaker", F.array_join(F.transform("parts", lambda s: s["body"]), " ").alias("text"))
 
 
-def turn_counts(content: Column) -> Column:
-    """Turns and the words in them of a labelled transcript, in one pass over its lines (see parse_turns)."""
-    start = F.struct(F.lit(False).alias("labelled"), F.lit(False).alias("filled"), F.lit(0).cast("bigint").alias("turns"), F.lit(0).cast("bigint").alias("words"))
-    lines = F.transform(F.split(content, "\n"), T.strip)
-    facts = F.transform(lines, lambda x: F.struct(x.rlike(LABEL).alias("label"), T.word_count(F.regexp_replace(x, LABEL, "")).alias("words")))
-
-    def step(acc: Column, line: Column) -> Column:
-        labelled = acc["labelled"] | line["label"]
-        before = acc["filled"] & ~line["label"]
-        counts = labelled & (line["words"] > 0)
-        return F.struct(
-            labelled.alias("labelled"),
-            (before | counts).alias("filled"),
-            (acc["turns"] + F.when(counts & ~before, 1).otherwise(0)).alias("turns"),
-            (acc["words"] + F.when(labelled, line["words"]).otherwise(0)).alias("words"),
-        )
-
-    return F.aggregate(facts, start, step)
-
-
-def turn_measures(counts: Column) -> list[Column]:
+def turn_measures(turns: Column, words: Column) -> list[Column]:
     """n_turns, average words of a turn and speaker switches per 1000 words; zeros where no turn is found."""
-    turns, words = counts["turns"], counts["words"]
     average = F.when(turns > 0, words / turns).otherwise(0.0)
     switches = F.when(words > 0, (turns - 1) / words * 1000).otherwise(0.0)
     return [F.coalesce(turns, F.lit(0)).cast("bigint").alias("n_turns"), average.alias("avg_turn_length"), switches.alias("switch_rate")]
@@ -112,4 +107,4 @@ def turn_measures(counts: Column) -> list[Column]:
 def dialogue_stats(transcripts: DataFrame) -> DataFrame:
     """Per transcript: n_turns, avg_turn_length, switch_rate. Row by row: no text is shuffled."""
     counted = transcripts.select("sample", "model", turn_counts(F.col("content")).alias("_turns"))
-    return counted.select("sample", "model", *turn_measures(F.col("_turns")))
+    return counted.select("sample", "model", *turn_measures(F.col("_turns.turns"), F.col("_turns.words")))
