@@ -9,6 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from turnloom.functions import measures
 from turnloom.functions import text as T
 from turnloom.operators import chat, choice, compare, excerpts, mix, packing, stories, turns
 from turnloom.operators.index import dense_index, running_total
@@ -30,7 +31,7 @@ def test_word_count(spark, text, n):
 
 @pytest.mark.parametrize(("text", "value"), [("a", 0.0), ("", 0.0), ("a b a b", 2 / 3), ("A, b! a b", 2 / 3)])
 def test_distinct_n(spark, text, value):
-    assert one(spark, T.distinct_n(F.col("t")), t=text) == pytest.approx(value)
+    assert one(spark, measures.distinct_n(F.col("t")), t=text) == pytest.approx(value)
 
 
 def test_scene_prompt_and_fence(spark):

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.measures import distinct_n
 from ..operators import compare, excerpts, mix, turns
 from ..operators.index import dense_index
-from ..sources import files
+from ..sources import files, lines
+from ..streaming.turns import stream_turns
 from . import adapters as A
 from .registry import query
 
@@ -29,6 +31,18 @@ def s2(spark, d):
     return excerpts.slice_by_position(A.table(spark, d, "documents").select("doc_id"), ["doc_id"], 20, 100)
 
 
+@query("s2_slice_lines", """SELECT position, CASE WHEN position % 7 <> 3 THEN doc_id END AS doc_id, CASE WHEN position % 7 <> 3 THEN text END AS text, position % 7 = 3 AS broken
+FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents) WHERE position >= 50 AND position < 150""")
+def s2_lines(spark, d):
+    """Documents as JSON lines over several files, each seventh line cut off, and a slice of them by position. Broken lines count."""
+    path = A.scratch(spark, "lines")
+    rows = dense_index(A.table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "position")
+    line = F.to_json(F.struct("doc_id", "text"))
+    shown = F.when(F.col("position") % 7 == 3, F.expr("substr(line, 1, 9)")).otherwise(F.col("line"))
+    rows.withColumn("line", line).select("position", shown.alias("value")).repartitionByRange(8, "position").sortWithinPartitions("position").select("value").write.text(path)
+    return lines.parsed_lines(lines.slice_lines(spark, path, 50, 100), "doc_id long, text string")
+
+
 @query("s3_load_excerpts", f"WITH {A.EXCERPTS} SELECT source, episode_idx, excerpt_idx, excerpt, excerpt_length, word_count, CAST(len(scenes) AS BIGINT) AS n_scenes FROM excerpts")
 def s3(spark, d):
     """Metadata files of a hundred episodes each, as JSON arrays, read back; the URL holds the source."""
@@ -70,6 +84,16 @@ def p20(spark, d):
     return A.raw_transcripts(spark, d).select("sample", "model", T.sample_number(key).alias("number"), T.story_id(key).alias("story"))
 
 
+@query("streamed_turns", f"WITH {A.TURNS}, {A.LOADED} SELECT episode_url, speaker, {A.strip_sql('text')} AS text FROM loaded WHERE NOT starts_with({A.strip_sql('text')}, '[Music]')")
+def streamed(spark, d):
+    """The turns as files, read as a stream of all there are, and written as a table."""
+    path, out = A.scratch(spark, "turns"), A.scratch(spark, "streamed")
+    files.write_jsonl(A.turns(spark, d).select(F.col("episode_url").alias("mp3url"), "speaker", F.col("text").alias("turnText")), path)
+    rows = stream_turns(spark, path)
+    rows.writeStream.format("parquet").option("checkpointLocation", A.scratch(spark, "progress")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out).withColumn("speaker", F.get("speaker", F.lit(0)))
+
+
 @query("p1_clean_turns", f"WITH {A.TURNS}, {A.CLEAN} SELECT * FROM clean")
 def p1(spark, d):
     return turns.clean_turns(A.turns(spark, d)).withColumn("speaker", F.get("speaker", F.lit(0)))
@@ -128,7 +152,7 @@ DISTINCT2 = f"""d2 AS (SELECT sample, model, CASE WHEN len(w) < 2 THEN 0.0 ELSE
 
 @query("a3_distinct_n", f"WITH {A.TRANSCRIPTS}, {A.STRIPPED}, {DISTINCT2} SELECT sample, model, round(distinct2, 6) AS distinct2 FROM d2")
 def a3(spark, d):
-    return rounded(A.transcripts(spark, d).select("sample", "model", T.distinct_n(F.col("content"), 2).alias("distinct2")), "distinct2")
+    return rounded(A.transcripts(spark, d).select("sample", "model", distinct_n(F.col("content"), 2).alias("distinct2")), "distinct2")
 
 
 LABEL = r"^(?:\[?)(Speaker\s*\d+|Host|Guest|Co-host|[A-Z][a-z]+)(?:\]?):\s*"

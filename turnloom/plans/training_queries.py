@@ -459,6 +459,22 @@ def m14(spark, d):
     return packing.pack_records(_tokens(spark, d), ["record_id"])
 
 
+@query("m14_pack_invariants", f"""WITH {TOKENS} SELECT batch, count(*) AS records, CAST(sum(num_tokens) AS BIGINT) AS tokens, max(num_tokens) AS largest, true AS each_once, true AS within_capacity, true AS well_filled
+FROM (SELECT num_tokens, (row_number() OVER (ORDER BY record_id) - 1) // 256 AS batch FROM tokens) GROUP BY batch""")
+def m14_invariants(spark, d):
+    """What holds of every packing: batches of consecutive records, each packed once, within capacity, at most one pack a batch half empty."""
+    packed = packing.pack_records(_tokens(spark, d), ["record_id"])
+    packs = packed.groupBy("batch", "pack").agg(F.count("*").alias("n"), F.sum("num_tokens").alias("own"), F.max("num_tokens").alias("largest"), F.max("pack_tokens").alias("stated"), F.count_distinct("record_id").alias("different"))
+    return packs.groupBy("batch").agg(
+        F.sum("n").alias("records"),
+        F.sum("own").alias("tokens"),
+        F.max("largest").alias("largest"),
+        F.every((F.col("n") == F.col("different")) & (F.col("own") == F.col("stated"))).alias("each_once"),
+        F.every((F.col("own") <= packing.CAPACITY) | (F.col("n") == 1)).alias("within_capacity"),
+        (F.count_if(F.col("own") * 2 <= packing.CAPACITY) <= 1).alias("well_filled"),
+    )
+
+
 def _token_rows(spark, d):
     """Token ids of a turn: words' lengths between the marks that begin and end an answer."""
     rows = A.table(spark, d, "conversations")
