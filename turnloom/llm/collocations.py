@@ -45,8 +45,9 @@ TOP = 2000
 SAMPLE_OF = 8  # one document in so many is in the sample
 LOWERED = 0.4  # the sample's threshold, of what MIN_COUNT comes to there
 FILTER_WORDS = 1 << 20
-SLICE_BYTES = 1 << 20  # text counted at once in a task; a longer single text is counted alone
-TALLY = 1 << 19  # different phrases whose counts a task holds before it hands them on
+SLICE_BYTES = 1 << 19  # text counted at once in a task; a longer single text is counted alone
+TALLY = 1 << 18  # different phrases whose counts a task holds before it hands them on
+BATCH_ROWS = 1 << 15  # counts handed on together
 SALTS = 64
 UNKNOWN = "und"
 
@@ -174,7 +175,9 @@ class Tally:
                 [(hashes, counts, held)], self.parts, self.size = self.parts, [], 0
                 n = len(hashes)
                 named = [held[0], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())] if self.k == 1 else [pa.nulls(n, pa.string()), *held]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, self.k, np.int32)), *named, pa.array(counts)], names=["k", "name", "p", "w", "n"])
+                made = pa.RecordBatch.from_arrays([pa.array(np.full(n, self.k, np.int32)), *named, pa.array(counts)], names=["k", "name", "p", "w", "n"])
+                for at in range(0, n, BATCH_ROWS):
+                    yield made.slice(at, BATCH_ROWS)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, Slice]]:
