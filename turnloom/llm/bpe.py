@@ -27,18 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buffers as B
-from .pieces import PieceEncoder, Vocabulary
+from .pieces import PieceEncoder, Vocabulary, byte_symbols
 
 TEXT_BYTES = 1 << 20  # text encoded together in a task; a longer single text is encoded alone
 
 
-def byte_symbols() -> list[str]:
-    """The printable symbol of each byte: itself where it is visible in Latin-1, else the next from U+0100 on."""
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = iter(range(256))
-    return [chr(b) if b in visible else chr(256 + next(hidden)) for b in range(256)]
-
-
 class TokenAutomaton:
     """Transition table over labels, spelling table over bytes, and the walk of many words."""
 

@@ -4,6 +4,11 @@ The vocabulary's pattern never joins characters across white space, nor letters
 signs, so a text is the sequence of its pieces between white space; a stop or comma that stands alone
 is a piece of its own. Pieces are cut into words by the vocabulary's pattern, and words are what an
 encoder gets. Few pieces are new, so the ids of each are remembered.
+
+Python, its pattern module and the vocabulary's library each know another version of Unicode. Code
+points whose kind and place among combining marks have been the same since Unicode 3.2 mean the same
+to all of them; a piece that holds any other (or one that is not assigned) is normalised and cut into
+words by the library itself.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import cache, cached_property
 
 import regex
 
@@ -25,6 +31,36 @@ ENTRY_BYTES = 200  # what a remembered piece takes beside its characters and ids
 LONG_PIECE = 64  # longer pieces are not remembered
 
 
+def byte_symbols() -> list[str]:
+    """The printable symbol of each byte: itself where it is visible in Latin-1, else the next from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(256))
+    return [chr(b) if b in visible else chr(256 + next(hidden)) for b in range(256)]
+
+
+@cache
+def _unsettled() -> re.Pattern:
+    """Code points that versions of Unicode may take differently."""
+    old, now = unicodedata.ucd_3_2_0, unicodedata
+
+    def settled(c: str) -> bool:
+        kind = old.category(c)
+        return kind != "Cn" and kind[0] == now.category(c)[0] and old.combining(c) == now.combining(c) and all(old.category(x) != "Cn" for x in c.lower())
+
+    starts, before = [], True
+    for k in range(0x80, 0x110000):
+        own = 0xD800 <= k < 0xE000 or settled(chr(k))
+        if own != before:
+            starts.append(k)
+            before = own
+    ends = [k - 1 for k in starts[1::2]] + [0x10FFFF] * (len(starts) % 2)
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts[::2], ends, strict=True)) + "]")
+
+
+def unsettled(text: str) -> bool:
+    return not text.isascii() and _unsettled().search(text) is not None
+
+
 def normal(text: str) -> str:
     """Composed characters in lower case, one by one."""
     if text.isascii():
@@ -34,12 +70,12 @@ def normal(text: str) -> str:
 
 
 def pieces(text: str | None) -> list[str]:
-    """The pieces of a text, normalised but for those that may hold an added token."""
+    """The pieces of a text, normalised but for those that may hold an added token or are the library's to normalise."""
     if not text:
         return []
     whole = any(c in text for c in _ODD_BLANKS)
-    if ADDED in text:
-        return [c if ADDED in c else normal(c) for c in ([text] if whole else text.split())]
+    if ADDED in text or unsettled(text):
+        return [c if ADDED in c or unsettled(c) else normal(c) for c in ([text] if whole else text.split())]
     text = normal(text)
     if whole:
         return [text]
@@ -61,13 +97,31 @@ class Vocabulary:
         self.end = model.get("end_of_word_suffix") or ""
         splits = [p["pattern"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.pattern = regex.compile(splits[0]["Regex"])
+        self.path = path
         self.stop = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
 
+    @cached_property
+    def library(self) -> tuple:
+        """The library's normaliser and word cutter, and the byte of each symbol in its words."""
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.path)
+        return own.normalizer, own.pre_tokenizer, {s: b for b, s in enumerate(byte_symbols())}
+
+    def _words(self, part: str) -> list[str]:
+        """Words of a text that is not normalised yet and holds no added token."""
+        if not unsettled(part):
+            return self.pattern.findall(normal(part))
+        normalizer, cutter, byte = self.library
+        return [bytes(byte[c] for c in word).decode() for word, _ in cutter.pre_tokenize_str(normalizer.normalize_str(part))]
+
     def words(self, piece: str) -> list[str | int]:
         """A piece of text as words and ids of added tokens."""
         if self.stop and ADDED in piece:
             parts = [part for part in self.stop.split(piece) if part]
-            return [w for part in parts for w in ([self.added[part]] if part in self.added else self.pattern.findall(normal(part)))]
+            return [w for part in parts for w in ([self.added[part]] if part in self.added else self._words(part))]
+        if unsettled(piece):
+            return self._words(piece)
         return [piece] if piece.isascii() and piece.isalpha() else self.pattern.findall(piece)
 
 
@@ -130,7 +184,7 @@ class RememberedPieces(dict):
             if words == [piece]:
                 ids = self.encode_word(piece)
             else:
-                of = self.encode_word if ADDED in piece else self.__getitem__  # words are normal already, and must not become so twice
+                of = self.encode_word if ADDED in piece or unsettled(piece) else self.__getitem__  # words are normal already, and must not become so twice
                 ids = b"".join([of(w) if isinstance(w, str) else w.to_bytes(4, "little") for w in words])
         if len(piece) <= LONG_PIECE:
             self[piece] = ids

@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import buffers as B
-from .bpe import byte_symbols
-from .pieces import RememberedPieces, Vocabulary, pieces
+from .pieces import RememberedPieces, Vocabulary, byte_symbols, pieces
 from .storage import stored
 
 END_ID = 2
