@@ -9,9 +9,10 @@ Payloads that a bounded bitmap shows to be alone are written where they are read
 A null html is an empty payload. Payloads under `REVISIT_BYTES` are always written as responses. Of
 larger equal payloads the record with the largest page_id is the response (a null id is the
 smallest) and the others revisit it; repeated rows with that same id are the same record, so all are
-responses. Urls and text ids may hold any text: line breaks, percent and closing signs in them are
-escaped in the header. A null url has no header line, a null id a record id of its own kind. An empty
-table gives empty tables. Further columns are not read.
+responses. A url stands in the header as it is, but for line breaks, which no header line can hold: they
+are escaped there, and the url itself is kept beside the header. Text ids may hold any text: line breaks,
+percent and closing signs in record ids are escaped. A null url has no header line, a null id a record
+id of its own kind. An empty table gives empty tables. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ DATE = "2000-01-01T00:00:00Z"  # the pages carry no fetch time
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-ESCAPED = "%\r\n>"  # the percent sign first
+BREAKS = "\r\n"
+ESCAPED = "%\r\n>"  # in record ids; the percent sign first
 
 
 class Archive(NamedTuple):
@@ -36,8 +38,8 @@ class Archive(NamedTuple):
     headers: DataFrame
 
 
-def _escaped(text: Column) -> Column:
-    for sign in ESCAPED:
+def _escaped(text: Column, signs: str = ESCAPED) -> Column:
+    for sign in signs:
         text = F.replace(text, F.lit(sign), F.lit(f"%{ord(sign):02X}"))
     return text
 
@@ -59,7 +61,7 @@ def _header() -> Column:
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
         F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_id"))),
-        F.concat(F.lit("WARC-Target-URI: "), _escaped(F.col("url"))),
+        F.concat(F.lit("WARC-Target-URI: "), _escaped(F.col("url"), BREAKS)),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
         F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
@@ -87,7 +89,7 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     joined = slim.join(owners, "address", "left")
     revisit = F.col("copies").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     records = joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("owner")))
-    headers = stored(records.select("page_id", "address", _header().alias("header")), "warc-headers")
+    headers = stored(records.select("page_id", "address", "url", _header().alias("header")), "warc-headers")
     return Archive(payloads, headers)
 
 
@@ -106,7 +108,7 @@ def records(archive: Archive) -> DataFrame:
     """Original records: page_id, address, url, payload and the record's bytes as a WARC file holds them."""
     whole = archive.headers.join(archive.payloads, "address")
     body = F.when(field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return whole.select("page_id", "address", _unescaped(field("WARC-Target-URI")).alias("url"), "payload", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
+    return whole.select("page_id", "address", "url", "payload", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
 
 
 def report(archive: Archive) -> DataFrame:
