@@ -1,14 +1,16 @@
 """Labelled pages that the main-text model is trained on: hand-made layouts whose main text is marked.
 
 The tables hold no labelled pages, so layouts of common kinds are written down here, filled with
-words of varied length, and combined. A part marked `data-main` is main text, all else is not.
+words of varied length, and combined. A part marked `data-main` is main text, all else is not. Some
+paragraphs hold links, few or most of their words; some lists of links belong to the text; readers'
+comments may stand inside the article.
 """
 
 from __future__ import annotations
 
 import random
 
-#: {t}: a text of sentences, {s}: a few words, {p}: paragraphs, {l}: list items, {a}: list items that are links
+#: {t}: a text of sentences, {s}: a few words, {p}: paragraphs, {m}: the same, each marked, {l}: list items, {a}: list items that are links
 MAIN = [
     '<article data-main><h1>{s}</h1>{p}</article>',
     '<article data-main class="post"><h1>{s}</h1><p>{s}.</p>{p}<h2>{s}</h2>{p}<ul>{l}</ul></article>',
@@ -22,6 +24,17 @@ MAIN = [
     '<article data-main><h1>{s}</h1><p>{s}</p></article>',
     '<article data-main><h1>{s}</h1><p>{t}</p></article>',
     '<main role="main"><h1 data-main>{s}</h1><div data-main>{p}</div><form action="/go"><label>{s}</label><p>{s}</p></form></main>',
+    '<article><h1 data-main>{s}</h1>{m}<div id="comments"><p>{t}</p><p>{t}</p></div></article>',
+    '<article class="post"><h1 data-main>{s}</h1>{m}<ul data-main>{l}</ul>{m}<div class="comments"><h3>{s}</h3><div class="comment"><p>{t}</p></div></div></article>',
+    '<main><h1 data-main>{s}</h1>{m}<section class="replies"><ol><li><p>{t}</p></li><li><p>{t}</p></li></ol></section></main>',
+    '<article data-main><h1>{s}</h1>{p}<ul>{a}</ul>{p}</article>',
+    '<div data-main class="entry"><h2>{s}</h2><p>{s}</p><ul>{a}</ul></div>',
+    '<article data-main><p>{s}</p></article>',
+    '<main data-main><p>{s}.</p></main>',
+    '<article data-main>{p}<ul>{a}</ul><p>{s}.</p></article>',
+    '<main><div data-main class="body">{p}<ul>{a}</ul></div></main>',
+    '<article data-main><p>{t}</p><p><a href="/x">{s}</a></p>{p}<ol>{a}</ol></article>',
+    '<article><h1 data-main>{s}</h1>{m}<ul data-main>{a}</ul><div class="ad"><p>{t}</p></div>{m}<div class="comment-list"><p>{t}</p><p>{s}</p></div></article>',
 ]
 BEFORE = [
     "<nav><ul>{a}</ul></nav>",
@@ -66,13 +79,25 @@ def labelled_pages(count: int = 600, seed: int = 11, main: list[str] = MAIN, bef
     def sentences() -> str:
         return " ".join(some_words(rng.randint(1, 24)).capitalize() + "." for _ in range(rng.choice([1, 1, 2, 3, 5, 8])))
 
+    def paragraphs(tag: str) -> str:
+        out = []
+        for _ in range(rng.randint(1, 6)):
+            text = some_words(rng.randint(1, 3)) + "." if rng.random() < 0.2 else sentences()
+            if rng.random() < 0.15:
+                words = text.split(" ")
+                a, b = sorted(rng.choices(range(len(words) + 1), k=2))
+                text = " ".join([*words[:a], f'<a href="/x">{" ".join(words[a:b]) or some_words(3)}</a>', *words[b:]])
+            out.append(f"{tag}{text}</p>")
+        return "".join(out)
+
     def fill(part: str) -> str:
         makers = {
             "{s}": lambda: some_words(rng.randint(1, 7)),
             "{t}": sentences,
-            "{p}": lambda: "".join(f"<p>{some_words(rng.randint(1, 3)) + '.' if rng.random() < 0.2 else sentences()}</p>" for _ in range(rng.randint(1, 6))),
+            "{p}": lambda: paragraphs("<p>"),
+            "{m}": lambda: paragraphs("<p data-main>"),
             "{l}": lambda: "".join(f"<li>{some_words(rng.randint(2, 12))}</li>" for _ in range(rng.randint(2, 5))),
-            "{a}": lambda: "".join(f'<li><a href="/x">{some_words(rng.randint(1, 4))}</a></li>' for _ in range(rng.randint(2, 8))),
+            "{a}": lambda: "".join(f'<li><a href="/x">{some_words(rng.randint(1, 4))}</a></li>' for _ in range(rng.randint(1, 8))),
         }
         for mark, make in makers.items():
             while mark in part:

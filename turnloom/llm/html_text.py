@@ -2,7 +2,8 @@
 
 Every block element and every block of text is a node that is main text or not. Node potentials
 come from its tag, attributes, length, links and punctuation; potentials between parent and child
-say how likely a child is main text given its parent. Sum-product messages go from the leaves up
+say how likely a child is main text given its parent, one table for parents whose name or
+attributes mark them as beside the text, one for those marked as text, one for all others. Sum-product messages go from the leaves up
 and from the root down, and a block of text is kept when its marginal is at least one half.
 
 Null html is an empty page; a page without main text gives the empty text. Broken markup is read as
@@ -26,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .html_pages import labelled_pages
-from .labelled import logistic
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 _STOP = re.compile("[>\"']")
@@ -209,27 +209,33 @@ def parse(page: str) -> Page:
     return out
 
 
+KINDS = ("beside", "text", "other")
+BESIDE_TAGS = CONTROLS | {"nav", "aside", "footer", "form"}
+TEXT_TAGS = frozenset(["article", "main"])
+
+
+def kind(tag: str, marks: frozenset[str]) -> int:
+    """What an element's tag and attributes say of it, as a place in KINDS."""
+    return 0 if tag in BESIDE_TAGS or marks & BESIDE else 1 if tag in TEXT_TAGS or marks & TEXT else 2
+
+
 def element_features(tag: str, marks: frozenset[str]) -> list[str]:
-    out = [f"tag={tag}"]
-    if tag in CONTROLS or marks & BESIDE:
-        out.append("beside")
-    elif marks & TEXT:
-        out.append("text")
-    return out
+    own = kind(tag, marks)
+    return ["element", f"tag={tag}"] if own == 2 else ["element", f"tag={tag}", KINDS[own]]
 
 
 def block_features(tag: str, text: str, linked: float) -> list[str]:
     ends = text[-1] in ".!?:;\"'”…。"
-    return [f"in={tag}", f"size={min(len(text).bit_length(), 10)}", f"links={0 if linked == 0 else 1 if linked < 0.5 else 2}", f"ends={ends}"]
+    return ["block", f"in={tag}", f"size={min(len(text).bit_length(), 10)}", f"links={0 if linked == 0 else 1 if linked < 0.5 else 2}", f"ends={ends}"]
 
 
 class TreeModel:
-    """Log-odds of nodes and log potentials between parent and child."""
+    """Log-odds of nodes and potentials between parent and child, for each kind of parent (or one for all)."""
 
     def __init__(self, weights: dict[str, float], pairs: np.ndarray, root: float):
         self.weights = weights
         self.root = root
-        (self.pair00, self.pair01), (self.pair10, self.pair11) = pairs.tolist()  # parent, child
+        self.pairs = np.broadcast_to(pairs, (len(KINDS), 2, 2)).tolist()  # kind, parent, child
         self.cache: dict = {}
 
     def node(self, features: tuple[str, ...] | list[str]) -> float:
@@ -256,76 +262,127 @@ class TreeModel:
         backward pass sends all upward messages and one forward pass all downward ones.
         """
         elements, blocks = self.unary(page)
+        kinds = [kind(tag, marks) for tag, marks in zip(page.tag, page.marks, strict=True)]
         belief = list(elements)
         belief[0] += self.root
         up = [0.0] * len(elements)
         block_up = []
         for at, own in zip(page.owner, blocks, strict=True):
-            message = self._up(own)
+            message = self._up(own, kinds[at])
             block_up.append(message)
             belief[at] += message
         for k in range(len(elements) - 1, 0, -1):
-            up[k] = self._up(belief[k])
+            up[k] = self._up(belief[k], kinds[page.parent[k]])
             belief[page.parent[k]] += up[k]
         for k in range(1, len(elements)):
-            belief[k] += self._down(belief[page.parent[k]] - up[k])
+            belief[k] += self._down(belief[page.parent[k]] - up[k], kinds[page.parent[k]])
         out = []
         for at, own, message in zip(page.owner, blocks, block_up, strict=True):
-            total = own + self._down(belief[at] - message)
+            total = own + self._down(belief[at] - message, kinds[at])
             out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))))
         return out
 
-    def _up(self, odds: float) -> float:
+    def _up(self, odds: float, of: int) -> float:
+        (p00, p01), (p10, p11) = self.pairs[of]
         e = math.exp(max(-30.0, min(30.0, odds)))
-        return math.log((self.pair10 + self.pair11 * e) / (self.pair00 + self.pair01 * e))
+        return math.log((p10 + p11 * e) / (p00 + p01 * e))
 
-    def _down(self, odds: float) -> float:
+    def _down(self, odds: float, of: int) -> float:
+        (p00, p01), (p10, p11) = self.pairs[of]
         e = math.exp(max(-30.0, min(30.0, odds)))
-        return math.log((self.pair01 + self.pair11 * e) / (self.pair00 + self.pair10 * e))
+        return math.log((p01 + p11 * e) / (p00 + p10 * e))
 
     def main_text(self, page: str | None) -> str:
         found = parse(page or "")
         return "\n".join([t for t, p in zip(found.text, self.marginals(found), strict=True) if p >= 0.5])
 
 
-def train(pages: list[str]) -> TreeModel:
-    """Fits node weights by logistic regression and parent-child potentials by counting.
-
-    The pairwise potentials are the joint frequencies of (parent, child) over the product of their
-    own frequencies, so that the base rates, which the node weights carry, do not count twice.
+def _message(odds: np.ndarray, both: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, both + odds) - np.logaddexp(0, odds)
+
+
+class Forest:
+    """Nodes of many labelled pages, level by level, so that messages of a level are sent at once."""
+
+    def __init__(self, pages: list[str]):
+        rows: list[Counter] = []
+        parents: list[int] = []
+        labels: list[int] = []
+        kinds: list[int] = []
+        for text in pages:
+            page = parse(text)
+            marked = [False] * len(page.tag)
+            for k in range(1, len(page.tag)):
+                marked[k] = marked[page.parent[k]] or "data-main" in page.marks[k]
+            marks = [m - {"data-main"} for m in page.marks]
+            size: defaultdict = defaultdict(Counter)
+            for at, block in zip(page.owner, page.text, strict=True):
+                label, k = int(marked[at]), at
+                while k >= 0:
+                    size[k][label] += len(block)
+                    k = page.parent[k]
+            labels += [int(marked[k] or size[k][1] > size[k][0]) for k in range(len(page.tag))] + [int(marked[at]) for at in page.owner]
+            own = [kind(tag, m) for tag, m in zip(page.tag, marks, strict=True)]
+            features = [Counter(dict.fromkeys(element_features(tag, m), 1.0)) for tag, m in zip(page.tag, marks, strict=True)]
+            features += [Counter(dict.fromkeys(block_features(page.tag[at], block, linked), 1.0)) for at, block, linked in zip(page.owner, page.text, page.linked, strict=True)]
+            for child, parent in enumerate(page.parent[1:] + page.owner, 1):
+                features[child][f"child of {KINDS[own[parent]]}"] += 1
+                features[parent][f"parent {KINDS[own[parent]]}"] += 1
+            base = len(rows)
+            rows += features
+            parents += [-1] + [base + p for p in page.parent[1:] + page.owner]
+            kinds += [0] + [own[p] for p in page.parent[1:] + page.owner]
+        self.names = sorted({f for r in rows for f in r})
+        place = {f: k for k, f in enumerate(self.names)}
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.column = np.array([place[f] for r in rows for f in r])
+        self.value = np.array([v for r in rows for v in r.values()])
+        self.parent, self.label, self.kind = np.array(parents), np.array(labels), np.array(kinds)
+        depth = np.zeros(len(rows), int)
+        for k, p in enumerate(parents):
+            depth[k] = depth[p] + 1 if p >= 0 else 0
+        self.levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
+
+    def gradient(self, weights: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the log likelihood: labels less their expectations, by sum-product up and down."""
+        belief = np.bincount(self.row, weights=self.value * weights[self.column], minlength=len(self.parent))
+        up = np.zeros(len(belief))
+        pair = both[self.kind]
+        for nodes in reversed(self.levels):
+            up[nodes] = _message(belief[nodes], pair[nodes])
+            np.add.at(belief, self.parent[nodes], up[nodes])
+        whole = belief.copy()
+        for nodes in self.levels:
+            whole[nodes] += _message(whole[self.parent[nodes]] - up[nodes], pair[nodes])
+        expected = 1 / (1 + np.exp(-np.clip(whole, -30, 30)))
+        edges = np.flatnonzero(self.parent >= 0)
+        child, parent = belief[edges], whole[self.parent[edges]] - up[edges]
+        each = np.stack([np.zeros(len(edges)), child, parent, child + parent + pair[edges]])
+        on = np.exp(each[3] - np.logaddexp.reduce(each, axis=0))
+        of = np.bincount(self.column, weights=self.value * (self.label - expected)[self.row], minlength=len(weights))
+        of_both = np.bincount(self.kind[edges], weights=self.label[edges] * self.label[self.parent[edges]] - on, minlength=len(both))
+        return of, of_both
+
+
+def train(pages: list[str], steps: int = 300, rate: float = 0.1, ridge: float = 0.5) -> TreeModel:
+    """Fits node weights and parent-child potentials together, by the likelihood of the pages' labels.
+
+    The potentials of a kind of parent are log-linear in three weights: child is main text, parent is,
+    both are. The likelihood is concave; steps are Adam's.
     """
-    rows: list[list[str]] = []
-    labels: list[int] = []
-    pairs = np.ones((2, 2))
-    for text in pages:
-        page = parse(text)
-        marked = [False] * len(page.tag)
-        for k in range(1, len(page.tag)):
-            marked[k] = marked[page.parent[k]] or "data-main" in page.marks[k]
-        size: defaultdict = defaultdict(Counter)
-        for at, block in zip(page.owner, page.text, strict=True):
-            label, k = int(marked[at]), at
-            while k >= 0:
-                size[k][label] += len(block)
-                k = page.parent[k]
-        of = [int(marked[k] or size[k][1] > size[k][0]) for k in range(len(page.tag))]
-        for k in range(1, len(page.tag)):
-            rows.append(element_features(page.tag[k], page.marks[k] - {"data-main"}))
-            labels.append(of[k])
-            pairs[of[page.parent[k]], of[k]] += 1
-        for at, block, linked in zip(page.owner, page.text, page.linked, strict=True):
-            rows.append(block_features(page.tag[at], block, linked))
-            labels.append(int(marked[at]))
-            pairs[of[at], int(marked[at])] += 1
-    names = sorted({f for r in rows for f in r})
-    place = {f: k for k, f in enumerate(names)}
-    x = np.zeros((len(rows), len(names)))
-    for k, r in enumerate(rows):
-        x[k, [place[f] for f in r]] = 1
-    w = logistic(x, np.array(labels), np.ones(len(rows)), ridge=2.0)
-    weights = {f: float(w[k] + w[-1] / 4) for f, k in place.items()}
-    joint = pairs / pairs.sum()
-    return TreeModel(weights, joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)), 0.0)
+    forest = Forest(pages)
+    n = len(forest.names)
+    at, first, second = np.zeros(n + len(KINDS)), np.zeros(n + len(KINDS)), np.zeros(n + len(KINDS))
+    for t in range(1, steps + 1):
+        g = np.concatenate(forest.gradient(at[:n], at[n:])) - ridge * at
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        at += rate * (1 - t / (steps + 1)) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    weights = dict(zip(forest.names, at[:n].tolist(), strict=True))
+    pairs = np.ones((len(KINDS), 2, 2))
+    for k, name in enumerate(KINDS):
+        child, parent = weights.pop(f"child of {name}", 0.0), weights.pop(f"parent {name}", 0.0)
+        pairs[k] = np.exp([[0.0, child], [parent, child + parent + at[n + k]]])
+    return TreeModel(weights, pairs, 0.0)
 
 
 _MODEL: list[TreeModel] = []
