@@ -9,7 +9,8 @@ heaviest event of a clause is the clause's, lightened where the clause reports s
 by its heaviest event, by whether there is another, and by the logarithm of their number.
 
 The weights start from the grammar's own and are fitted on labelled rows, event by event; where the
-rows show no case of a mark, its own weight holds. Insult words beside the fixed ones are learnt from
+rows show no case of a mark, its own weight holds. Threats are held to their weight together with the
+bias, so without a case they score as the grammar means them to, wherever the fit moves the bias. Insult words beside the fixed ones are learnt from
 the same rows, in any language: whole words that toxic texts hold and clean ones lack, and stems that
 toxic texts hold again and again and clean ones at most once; these have a mark of their own.
 
@@ -125,6 +126,8 @@ def report(state: int, c: int) -> tuple:
 TRANSDUCERS = (insult, target, threat, negation, report)
 START = (0, (0, 0, 0), (0, 0, 0, 0), (0, 0), 0)
 _EVENT_MARKS = {"insult", "stem", "threat", "weak_threat"}
+#: what the prior is on: every weight, those of threats with the bias
+_HELD = np.eye(len(OWN_WEIGHTS)) + np.outer([m in ("threat", "weak_threat") for m in [*MARKS, "", "", ""]], np.eye(len(OWN_WEIGHTS))[-1])
 
 
 class Composition:
@@ -264,8 +267,8 @@ def fit(rows: list[tuple[str, int]], sizes: dict[int, int]) -> Grammar:
         w = grammar.weights.copy()
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            g = x.T @ (weight * (p - y)) + PRIOR_STRENGTH * (w - OWN_WEIGHTS)
-            h = (x * (weight * p * (1 - p))[:, None]).T @ x + PRIOR_STRENGTH * np.eye(len(w))
+            g = x.T @ (weight * (p - y)) + PRIOR_STRENGTH * _HELD.T @ _HELD @ (w - OWN_WEIGHTS)
+            h = (x * (weight * p * (1 - p))[:, None]).T @ x + PRIOR_STRENGTH * _HELD.T @ _HELD
             step = np.linalg.solve(h, g)
             w -= step
             if np.abs(step).max() < 1e-9:
