@@ -42,10 +42,11 @@ def byte_symbols() -> list[str]:
 def _unsettled() -> re.Pattern:
     """Code points that versions of Unicode may take differently."""
     old, now = unicodedata.ucd_3_2_0, unicodedata
+    group = lambda kind: kind[0] if kind[0] in "LNZ" else "other"  # noqa: E731  what the pattern tells apart
 
     def settled(c: str) -> bool:
         kind = old.category(c)
-        return kind != "Cn" and kind[0] == now.category(c)[0] and old.combining(c) == now.combining(c) and all(old.category(x) != "Cn" for x in c.lower())
+        return kind != "Cn" and group(kind) == group(now.category(c)) and old.combining(c) == now.combining(c) and all(old.category(x) != "Cn" for x in c.lower())
 
     starts, before = [], True
     for k in range(0x80, 0x110000):
@@ -58,7 +59,13 @@ def _unsettled() -> re.Pattern:
 
 
 def unsettled(text: str) -> bool:
-    return not text.isascii() and _unsettled().search(text) is not None
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")  # all settled, and told faster than by a search
+    except UnicodeEncodeError:
+        return _unsettled().search(text) is not None
+    return False
 
 
 def normal(text: str) -> str:
