@@ -64,7 +64,7 @@ def assemble_transcripts(turns: DataFrame, most_chars: int = TRANSCRIPT_MAX_CHAR
     own = F.col("_chars") + F.col("_turns") * (F.length(F.col("speaker_no").cast("string")) + 12)
     sized = speakers.withColumn("n_chars", (F.sum(own).over(Window.partitionBy("episode_url")) - 2).cast("bigint"))
     names = F.collect_list(F.when(F.col("n_chars") <= most_chars, F.struct("_speaker", "speaker_no")))
-    episodes = sized.groupBy("episode_url").agg(F.max("n_chars").alias("n_chars"), F.countDistinct("speaker_no").alias("n_speakers"), F.map_from_entries(names).alias("_numbers"))
+    episodes = sized.groupBy("episode_url").agg(F.max("n_chars").alias("n_chars"), F.max("speaker_no").alias("n_speakers"), F.map_from_entries(names).alias("_numbers"))
     told = named.select("episode_url", "turn_idx", "_speaker", "text").join(episodes, "episode_url")
     number = F.element_at("_numbers", F.col("_speaker")).cast("string")
     line = F.when((F.col("n_chars") <= most_chars) & F.col("text").isNotNull(), F.struct("turn_idx", F.concat(F.lit("Speaker "), number, F.lit(": "), F.col("text")).alias("line")))

@@ -26,6 +26,7 @@ from ..operators.index import shared_folder
 #: kind: `file`, `folder`, or `self`, the row of the listed folder itself; size in bytes; changed in microseconds, of `self` rows
 LISTING = "folder string, name string, kind string, size long, changed long"
 FOLDERS_PER_TASK = 64
+MOST_TASKS = 20_000
 SETTLE_SECONDS = 2.0  # a folder that changed so short before it was listed may change again within the same tick: its time is not kept
 
 
@@ -84,7 +85,7 @@ def folder_listing(spark: SparkSession, root: str, previous: DataFrame | None =
             asked = level.withColumn("known", F.lit(None).cast("long"))
         else:
             asked = level.join(previous.filter("kind = 'self'").select("folder", F.col("changed").alias("known")), "folder", "left")
-        found = asked.select("folder", "known").repartition(-(-size // FOLDERS_PER_TASK), "folder").mapInArrow(listed, LISTING)
+        found = asked.select("folder", "known").repartition(min(-(-size // FOLDERS_PER_TASK), MOST_TASKS), "folder").mapInArrow(listed, LISTING)
         if previous is not None:
             found = found.checkpoint()
             found = found.filter("kind <> 'same'").unionByName(previous.select(*names).join(found.filter("kind = 'same'").select("folder"), "folder", "left_semi"))

@@ -21,10 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.index import running_total
-from .folders import files_of, folder_listing, opened
+from .folders import MOST_TASKS, files_of, folder_listing, opened
 
 RANGE_BYTES = 64 << 20
-MOST_TASKS = 20_000
 _CHUNK = 1 << 20
 _BATCH_BYTES = 4 << 20
 _BATCH_LINES = 8192
