@@ -6,7 +6,8 @@ are (Apriori).
 
 1. A sample of the documents is mined level by level at a lowered threshold. What is frequent there
    is proposed; its negative border is every other phrase whose two shorter phrases are proposed.
-2. A full pass counts all words, the proposed phrases and the border.
+2. All words are counted, then the proposed phrases and the border: the full pass is two jobs, so that
+   a task holds less.
 3. A frequent phrase of the border is a failure of the sample: longer phrases over it were never
    counted. Then a further pass counts all phrases that may still be frequent: those not counted yet
    whose parts each were counted and are frequent, or were not counted and may be frequent. That
@@ -277,12 +278,13 @@ def mined(docs: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
     spelled, each as one frequent phrase and one more frequent word.
     """
     known = proposed(docs, min_count)
-    found = frequent(docs, list(range(1, LONGEST + 1)), known, None, min_count, "phrases-found")
-    tables = [found]
-    if not failures(found, known).isEmpty():
-        tables.append(frequent(docs, list(range(2, LONGEST + 1)), known, PhraseFilter.of(found), min_count, "phrases-found"))
+    longer = list(range(2, LONGEST + 1))
+    tables = [frequent(docs, [1], None, None, min_count, "words-found"), frequent(docs, longer, known, None, min_count, "phrases-found")]
+    counted = tables[0].unionByName(tables[1])
+    if not failures(counted, known).isEmpty():
+        tables.append(frequent(docs, longer, known, PhraseFilter.of(counted), min_count, "phrases-found"))
     every = reduce(DataFrame.unionByName, tables)
-    words = found.filter("k = 1")
+    words = tables[0].filter("k = 1")
     last = words.select("lang", "w", F.col("phrase").alias("last"))
     levels = [words.select("lang", "k", "h", "phrase", "n")]
     for k in range(2, LONGEST + 1):
@@ -290,7 +292,7 @@ def mined(docs: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
         own = every.filter(F.col("k") == k).select("k", "h", "p", "w", "n").join(begun, "p").join(last, ["lang", "w"])
         levels.append(stored(own.select("lang", "k", "h", F.concat_ws(" ", "begun", "last").alias("phrase"), "n"), "phrases-spelled"))
     counts = stored(reduce(DataFrame.unionByName, levels).drop("h"), "phrase-counts")
-    totals = stored(found.filter("k = 0").select("lang", "n").coalesce(1), "phrase-totals")  # a row for each language
+    totals = stored(tables[0].filter("k = 0").select("lang", "n").coalesce(1), "phrase-totals")  # a row for each language
     forget(*tables, *levels[1:])
     return counts, totals
 
