@@ -7,8 +7,9 @@ compared before an occurrence counts.
 
 The tables are sent to every executor, so they are compiled from at most `PASS_BYTES` of benchmark
 text. Items are cut into parts that overlap by a window less one word, and a benchmark of more text
-takes several passes, one after the other, with the documents and what was found so far in a stored
-table between them. A document keeps its hit words as spans without overlap and each item once.
+takes several passes over the unchanged documents. Of all passes but the last, only what was found is
+stored, by the digest of the text; the last one adds it to what it finds itself. A document keeps its
+hit words as spans without overlap and each item once.
 
 Null or empty texts have no words and are never hit; repeated rows each get their own result; item
 ids are compared as strings; items with a null id are named "null"; other columns pass unchanged.
@@ -16,16 +17,19 @@ ids are compared as strings; items with a null id are named "null"; other column
 
 from __future__ import annotations
 
+import hashlib
 import string
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import buffers as B
-from .storage import forget, stored
+from .storage import forget, stored, with_perhaps
 
 WINDOW = 10
 PASS_BYTES = 8 << 20  # benchmark text searched for in one pass over the documents
@@ -112,46 +116,85 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def occurrences(found: list[bytes], tables: list[WuManber], hits: list[tuple[int, int]], held: set[str]) -> tuple[list[dict], list[str]]:
+    """Spans and items of the words `found`, those known already (`hits`, `held`) among them."""
+    for table in tables:
+        for first, owners in table.find(found):
+            if hits and hits[-1][0] <= first <= hits[-1][1]:
+                hits[-1] = (hits[-1][0], max(hits[-1][1], first + table.length))
+            else:
+                hits.append((first, first + table.length))
+            held.update(owners)
+    return [{"first": a, "end": b} for a, b in merged(hits)], sorted(held)
+
+
+def hit_texts(docs: DataFrame, text: str, tables: Broadcast) -> DataFrame:
+    """digest, spans and items of the different texts in which a pattern of `tables` occurs."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in B.slices(batch, text, TEXT_BYTES):
+                digests, spans, names = [], [], []
+                for value in piece.column(text):
+                    own, items = occurrences(item_words(value.as_py()), tables.value, [], set())
+                    if own:
+                        digests.append(hashlib.sha256(value.as_buffer()).digest())
+                        spans.append(own)
+                        names.append(items)
+                arrays = [pa.array(digests, pa.binary()), pa.array(spans, _ARROW_SPANS), pa.array(names, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["digest", "spans", "items"])
+
+    found = docs.select(text).mapInArrow(search, f"digest binary, spans {_SPANS}, items array<string>")
+    return found.groupBy("digest").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+
+
+def with_earlier(docs: DataFrame, text: str, earlier: list[DataFrame], into: str, items: str) -> DataFrame:
+    """Adds what earlier passes found in a row's text; only rows that a bounded bitmap cannot clear are shuffled."""
+    nothing = {into: F.lit(None).cast(_SPANS), items: F.lit(None).cast("array<string>")}
+    if not earlier:
+        return docs.withColumns(nothing)
+    digest, flag = f"{into}_digest", f"{into}_perhaps"
+    every = reduce(DataFrame.unionByName, earlier).groupBy(F.col("digest").alias(digest))
+    every = every.agg(F.flatten(F.collect_list("spans")).alias(into), F.array_distinct(F.flatten(F.collect_list("items"))).alias(items))
+    every = stored(every, "window-hits")
+    forget(*earlier)
+    marked = with_perhaps(docs.withColumn(digest, F.unhex(F.sha2(F.col(text).cast("binary"), 256))), digest, every.select(digest), flag)
+    hit = marked.filter(flag).join(every, digest, "left")
+    return hit.unionByName(marked.filter(f"not {flag}").withColumns(nothing)).drop(digest, flag)
+
+
 def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, into: str = "spans", keep_text: bool = True) -> DataFrame:
     """Adds `into`: the words hit, as positions [first, end) without overlap; `into`_items, the items found, and `into`_words.
 
-    Documents are only read and never shuffled. Without `keep_text` the text column ends here.
+    Without `keep_text` the text column ends here.
     """
     spark = docs.sparkSession
     items, words = f"{into}_items", f"{into}_words"
-    out = docs.withColumns({into: F.lit(None).cast(_SPANS), items: F.lit(None).cast("array<string>"), words: F.lit(None).cast("long")})
-    passes = _passes(benchmark, item_id, item_text, window)
-    for k, piece in enumerate(passes):
-        tables = spark.sparkContext.broadcast(compile_items([(r[0], r[1]) for r in piece.collect()], window))
-        kept = [c for c in out.columns if keep_text or k < len(passes) - 1 or c != text]
-
-        def search(batches: Iterator[pa.RecordBatch], tables=tables, kept=kept) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for piece in B.slices(batch, text, TEXT_BYTES):
-                    spans, names, counts = [], [], []
-                    for value, old, known in zip(piece.column(text), piece.column(into), piece.column(items), strict=True):
-                        found = item_words(value.as_py())
-                        hits = [(s["first"], s["end"]) for s in old.as_py() or ()]
-                        held = set(known.as_py() or ())
-                        for table in tables.value:
-                            for first, owners in table.find(found):
-                                if hits and hits[-1][0] <= first <= hits[-1][1]:
-                                    hits[-1] = (hits[-1][0], max(hits[-1][1], first + table.length))
-                                else:
-                                    hits.append((first, first + table.length))
-                                held.update(owners)
-                        spans.append([{"first": a, "end": b} for a, b in merged(hits)])
-                        names.append(sorted(held))
-                        counts.append(len(found))
-                    made = {into: pa.array(spans, _ARROW_SPANS), items: pa.array(names, pa.list_(pa.string())), words: pa.array(counts, pa.int64())}
-                    yield pa.RecordBatch.from_arrays([made[c] if c in made else piece.column(c) for c in kept], names=kept)
-
-        before, out = out, out.mapInArrow(search, out.select(kept).schema)
-        if k < len(passes) - 1:
-            out = stored(out, "window-hits")
-            forget(before)
-            tables.destroy()
-    return out
+    send = lambda piece: spark.sparkContext.broadcast(compile_items([(r[0], r[1]) for r in piece.collect()], window))
+    *firsts, last = _passes(benchmark, item_id, item_text, window)
+    earlier = []
+    for piece in firsts:
+        sent = send(piece)
+        earlier.append(stored(hit_texts(docs, text, sent), "pass-hits"))
+        sent.destroy()
+    out = with_earlier(docs, text, earlier, into, items).withColumn(words, F.lit(None).cast("long"))
+    tables = send(last)
+    kept = [c for c in out.columns if keep_text or c != text]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in B.slices(batch, text, TEXT_BYTES):
+                spans, names, counts = [], [], []
+                for value, old, known in zip(piece.column(text), piece.column(into), piece.column(items), strict=True):
+                    found = item_words(value.as_py())
+                    own, held = occurrences(found, tables.value, [(s["first"], s["end"]) for s in old.as_py() or ()], set(known.as_py() or ()))
+                    spans.append(own)
+                    names.append(held)
+                    counts.append(len(found))
+                made = {into: pa.array(spans, _ARROW_SPANS), items: pa.array(names, pa.list_(pa.string())), words: pa.array(counts, pa.int64())}
+                yield pa.RecordBatch.from_arrays([made[c] if c in made else piece.column(c) for c in kept], names=kept)
+
+    return out.mapInArrow(search, out.select(kept).schema)
 
 
 _ARROW_SPANS = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
