@@ -567,5 +567,5 @@ def s8(spark, d):
 def s8_csv(spark, d):
     rows = A.table(spark, d, "documents").select("doc_id", "text", "lang")
     path = A.scratch(spark, "csv")
-    files.write_csv(rows, path)
-    return files.read_csv(spark, path, rows.schema)
+    files.write_csv(rows, path, marked=True)
+    return files.read_csv(spark, path, rows.schema, marked=True)

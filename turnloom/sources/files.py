@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from ..functions import text as T
 from .folders import files_of, folder_listing, glob_pattern
@@ -18,6 +18,7 @@ EXCERPT_FILE = (
 )
 
 CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+NULL = r"\N"
 #: path of a transcript: its sample, then its model
 TRANSCRIPT_FILE = r"([^/]+)/transcript_([^/.]+)\.txt$"
 
@@ -77,11 +78,26 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; line breaks inside values are kept by quoting, and white space at their ends stays."""
-    df.write.options(**CSV).csv(path)
+def _texts(schema: StructType) -> list[str]:
+    return [f.name for f in schema.fields if isinstance(f.dataType, StringType)]
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV as write_csv writes it; an empty text reads as null."""
-    return spark.read.schema(schema).options(multiLine=True, **CSV).csv(path)
+def write_csv(df: DataFrame, path: str, marked: bool = False) -> None:
+    """CSV with a header; line breaks inside values are kept by quoting, and white space at their ends stays.
+
+    `marked`: null is written as NULL, and a text that begins with a backslash gets one more, so
+    that null, the empty text and every other text can be told apart.
+    """
+    if not marked:
+        return df.write.options(**CSV).csv(path)
+    shown = {c: F.when(F.startswith(c, F.lit("\\")), F.concat(F.lit("\\"), c)).otherwise(F.col(c)) for c in _texts(df.schema)}
+    df.withColumns(shown).write.options(nullValue=NULL, **CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType, marked: bool = False) -> DataFrame:
+    """CSV as write_csv writes it, `marked` or not; if not, an empty text reads as null."""
+    rows = spark.read.schema(schema).options(multiLine=True, charToEscapeQuoteEscaping='"', **CSV)
+    if not marked:
+        return rows.csv(path)
+    meant = {c: F.when(F.startswith(c, F.lit("\\")), F.substr(c, F.lit(2))).otherwise(F.col(c)) for c in _texts(schema)}
+    return rows.option("nullValue", NULL).csv(path).withColumns(meant)
