@@ -58,11 +58,13 @@ def s3(spark, d):
 
 @query("s4_load_transcripts", f"WITH {A.TRANSCRIPTS}, {A.STRIPPED} SELECT r.sample, r.model, t.content, CAST(regexp_extract(r.content, 'Word count: (\\d+)', 1) AS BIGINT) AS stated FROM raw_transcripts r JOIN transcripts t ON r.sample = t.sample AND r.model = t.model")
 def s4(spark, d):
-    """A text file for each transcript, read back."""
+    """A text file for each transcript, a thousand in a folder, read back; what has no text has no file."""
     path = A.scratch(spark, "transcripts")
-    rows = A.raw_transcripts(spark, d).select("sample", "model", F.col("content").alias("value"))
-    rows.repartition("sample").write.partitionBy("sample", "model").text(path)
-    return files.load_transcripts(spark, path, r"sample=([^/]+)/model=([^/]+)/[^/]+$").withColumn("sample", F.col("sample").cast("bigint"))
+    rows = A.raw_transcripts(spark, d)
+    name = F.format_string("samples=%d/%d_transcript_%s.txt", F.expr("sample div 500"), "sample", "model")
+    files.write_each(rows.filter("content is not null").select(name.alias("name"), F.col("content").alias("value")), path)
+    found = files.load_transcripts(spark, path, r"/([^/]+)_transcript_([^/]+)\.txt$").withColumn("sample", F.col("sample").cast("bigint"))
+    return found.unionByName(rows.filter("content is null").select("sample", "model", "content", F.lit(None).cast("bigint").alias("stated")))
 
 
 @query("m1_strip_header", f"WITH {A.TRANSCRIPTS}, {A.STRIPPED} SELECT sample, model, content FROM transcripts")

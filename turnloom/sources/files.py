@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..functions import text as T
-from .folders import files_of, folder_listing, glob_pattern
+from .folders import MOST_TASKS, files_of, folder_listing, glob_pattern, is_file, opened, qualified
 
 TURN = "mp3url string, speaker array<string>, turnText string"
 RECORD = "image array<string>, video array<string>, conversations array<struct<`from`:string,value:string>>"
@@ -19,6 +25,8 @@ EXCERPT_FILE = (
 
 CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 NULL = r"\N"
+READ_BYTES, READ_FILES = 8 << 20, 2500
+_BATCH_CHARS = 4 << 20
 #: path of a transcript: its sample, then its model
 TRANSCRIPT_FILE = r"([^/]+)/transcript_([^/.]+)\.txt$"
 
@@ -57,11 +65,81 @@ def numbered_index(items: DataFrame) -> DataFrame:
     return items.withColumn("index", F.col("index").cast("bigint")) if digits else items
 
 
+def files_at(spark: SparkSession, path: str) -> DataFrame:
+    """(path, filename, size) of a file, or of all files below a folder, or below what a path with `*`, `?`, `[...]` or `{a,b}` names."""
+    plain = re.split(r"[*?\[{]", path)[0]
+    if plain == path and not is_file(spark, path):
+        return files_of(folder_listing(spark, path))
+    root = qualified(spark, plain.rpartition("/")[0] or "/")
+    names = glob_pattern(path[len(plain.rpartition("/")[0]) + 1 :]) if plain != path else f"^{re.escape(path.rpartition('/')[2])}$"
+    below = F.substr("path", F.lit(len(root.rstrip("/")) + 2))
+    return files_of(folder_listing(spark, root)).filter(F.rlike(below, F.lit(f"{names[:-1]}(/|$)")))
+
+
+def read_whole(found: DataFrame) -> DataFrame:
+    """(path, value) of files (path, size): each file's text, read by tasks of about READ_BYTES or READ_FILES files."""
+    of_all = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    tasks = max(1, min(max(-(-of_all["size"] // READ_BYTES), -(-of_all["n"] // READ_FILES)), MOST_TASKS))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, texts, size = [], [], 0
+            for path in batch.column("path").to_pylist():
+                store, name = opened(path)
+                with store.open_input_file(name) as file:
+                    texts.append(file.read().decode("utf-8", "replace"))
+                paths.append(path)
+                size += len(texts[-1])
+                if size > _BATCH_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=["path", "value"])
+                    paths, texts, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=["path", "value"])
+
+    return found.select("path").repartition(tasks, "path").mapInArrow(read, "path string, value string")
+
+
+def write_each(rows: DataFrame, path: str) -> int:
+    """Writes a file for each row, by the tasks that hold the rows; returns their number.
+
+    `name` is its path below the folder; `value` its text, or `size` its number of bytes (then nothing
+    is in it, and a local file takes no room). A file gets its name when it is whole, so a task may run
+    twice. Names must differ.
+    """
+    folder, value = qualified(rows.sparkSession, path), "value" if "value" in rows.columns else "size"
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = opened(folder)
+        made: set[str] = set()
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column(value), strict=True):
+                inner, _, last = f"{top}/{name}".rpartition("/")
+                if inner not in made:
+                    store.create_dir(inner)
+                    made.add(inner)
+                unfinished = f"{inner}/.{last}.{uuid.uuid4().hex}"
+                if value == "size" and isinstance(store, fs.LocalFileSystem):
+                    with open(unfinished, "wb") as file:
+                        file.truncate(content.as_py())
+                else:
+                    with store.open_output_stream(unfinished) as file:
+                        for chunk in [content.as_py().encode()] if value == "value" else _zeros(content.as_py()):
+                            file.write(chunk)
+                store.move(unfinished, f"{inner}/{last}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    return rows.select("name", value).mapInArrow(written, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
+def _zeros(size: int) -> Iterator[bytes]:
+    for at in range(0, size, 1 << 20):
+        yield bytes(min(1 << 20, size - at))
+
+
 def load_transcripts(spark: SparkSession, path: str, names: str = TRANSCRIPT_FILE) -> DataFrame:
     """(sample, model, content, stated) of text files whose path tells sample and model: the dialogue without its header, and the stated word count."""
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     sample, model = F.regexp_extract("path", names, 1), F.regexp_extract("path", names, 2)
-    return files.filter(model != "").select(sample.alias("sample"), model.alias("model"), T.strip_header(F.col("value")).alias("content"), T.header_value(F.col("value"), "Word count").try_cast("bigint").alias("stated"))
+    files = read_whole(files_at(spark, path).filter(model != ""))
+    return files.select(sample.alias("sample"), model.alias("model"), T.strip_header(F.col("value")).alias("content"), T.header_value(F.col("value"), "Word count").try_cast("bigint").alias("stated"))
 
 
 def image_inventory(spark: SparkSession, path: str, source: str, names: str = "*.{png,jpg}", previous: DataFrame | None = None) -> DataFrame:

@@ -36,6 +36,12 @@ def qualified(spark: SparkSession, path: str) -> str:
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.exists(found) and store.getFileStatus(found).isFile()
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a qualified path and the path within it."""
     if path.startswith(("file:", "/")):
