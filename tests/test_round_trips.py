@@ -55,3 +55,14 @@ def test_files_at_a_folder_a_file_and_a_pattern(spark, tmp_path):
     assert found(f"{tmp_path}/lost") == set()
     got = {tuple(r) for r in files.load_transcripts(spark, f"{tmp_path}/d").collect()}
     assert got == {("s 1", "a", "Host: é0", 0), ("s 1", "b", "Host: é1", 1), ("x", "a", "Host: é2", 2), ("t", "c", "Host: é4", 4)}
+
+
+def test_image_files_of_odd_sources_are_few_folders(spark, tmp_path, monkeypatch):
+    sources = ["a/b c", "", ".", "100%=é*", None]
+    source = documents(spark, tmp_path, [(k, "some words here", "en", sources[k % 5], 1) for k in range(3000)])
+    monkeypatch.setattr(adapters, "scratch", lambda spark, what: str(tmp_path / what))
+    got = {r.source: (r.files, r.bytes) for r in __spark_entry__.queries()["s7_image_inventory"](spark, source).collect()}
+    rows = adapters.inventory(spark, source).withColumn("episode", F.split("filename", "_")[0]).groupBy("source").agg(F.countDistinct("episode").alias("files"), F.sum("size").alias("bytes"))
+    want = {r.source: (r.files, r.bytes) for r in rows.collect() if r.source is not None}
+    assert got == want and set(got) == set(sources) - {None}
+    assert len(folders_below(tmp_path / "images")) == 4

@@ -22,12 +22,13 @@ def _attached(spark, d, exact=None):
 
 @query("s7_image_inventory", f"WITH {A.INVENTORY} SELECT source, count(DISTINCT episode_idx) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT i.source, i.size, s.episode_idx FROM inventory i JOIN scenes s ON i.source = s.source AND i.filename = s.filename) GROUP BY source")
 def s7(spark, d):
-    """A file of so many bytes for each episode, listed."""
+    """A file of so many bytes for each episode, a thousand episodes in a folder, listed."""
     path = A.scratch(spark, "images")
-    rows = A.inventory(spark, d).withColumn("episode_idx", F.regexp_extract("filename", r"^ep(\d+)_", 1))
+    rows = A.inventory(spark, d).filter("source is not null").withColumn("episode_idx", F.regexp_extract("filename", r"^ep(\d+)_", 1).cast("bigint"))
     sizes = rows.groupBy("source", "episode_idx").agg(F.sum("size").alias("size"))
-    sizes.select("source", "episode_idx", F.expr("repeat('x', cast(size - 1 as int))").alias("value")).repartition("source", "episode_idx").write.partitionBy("source", "episode_idx").text(path)
-    listed = files.image_inventory(spark, path, "files", "*.txt").withColumn("source", F.regexp_extract("path", "source=([^/]+)/", 1))
+    name = F.format_string("source=%s/%d/%d.txt", F.url_encode("source"), F.expr("episode_idx div 1000"), "episode_idx")
+    files.write_each(sizes.select(name.alias("name"), "size"), path)
+    listed = files.image_inventory(spark, path, "files", "*.txt").withColumn("source", F.url_decode(F.regexp_extract("path", "source=([^/]*)/", 1)))
     return listed.groupBy("source").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
